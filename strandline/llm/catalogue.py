@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import exact_dedup
+from strandline.llm import exact_dedup, quality
 
 QUERIES = {
+    "op4_line_quality": quality.op4_line_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_line_quality": quality.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
