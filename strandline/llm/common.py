@@ -34,3 +34,14 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Bound the bytes of an Arrow batch, unless the session already states a bound.
+
+    Batches are counted in rows by default, and rows here are whole documents.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get("strandline.arrow.bound", None) is None:
+        spark.conf.set(key, str(megabytes << 20))
+        spark.conf.set("strandline.arrow.bound", "set")
