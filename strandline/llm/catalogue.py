@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import exact_dedup, language, near_dup, packing, quality
+from strandline.llm import exact_dedup, language, licenses, near_dup, packing, quality
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
+    "op2_license_rules": licenses.op2_license_rules,
     "op3_minhash_neardup": near_dup.op3_minhash_neardup,
     "op4_line_quality": quality.op4_line_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
