@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(*columns: Column) -> list[Column]:
+    """The columns, such that a filter on them stays above the projection that makes them.
+
+    Pushed below, a filter would repeat the whole chain of expressions it
+    stands on, and with nested ones that grows without bound.
+    """
+    always = F.monotonically_increasing_id() >= 0
+    return [F.when(always, c) for c in columns]
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bound the bytes of an Arrow batch, unless the session already states a bound.
 

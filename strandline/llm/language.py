@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm import textkernels as tk
 from strandline.llm.common import bounded_batches, table
@@ -170,6 +171,9 @@ def learn(labelled: DataFrame, p: LanguageParameters = LanguageParameters()) ->
     return LanguageModel(names, logp, p)
 
 
+_PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.StringType())]
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score (its share), mixture (name:share, largest first)."""
     spark = docs.sparkSession
@@ -197,7 +201,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     names=["id", "lang_pred", "score", "mixture"],
                 )
 
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, mixture string")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *_PREDICTED])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

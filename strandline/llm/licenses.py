@@ -27,7 +27,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import held, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -261,7 +261,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found:
     all_places = F.concat(*[F.col(f"base_{k}") for k in range(len(BASE))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{k}") > 0, label) for k, (_, label) in enumerate(BASE)]))
     rows = rows.select("id", "n_words", all_places.alias("places"), base_labels.alias("base"), F.when(canon.isNotNull(), hits).alias("hits"))
-    rows = rows.select("id", "n_words", "places", "base", F.when(F.size("hits") > 0, _kept(F.col("hits"))).alias("kept"))
+    rows = rows.select("id", "n_words", *(c.alias(n) for n, c in zip(("places", "base", "kept"), held(F.col("places"), F.col("base"), F.when(F.size("hits") > 0, _kept(F.col("hits")))))))
     empty = F.array().cast("array<string>")
     labels = F.array_union(F.coalesce("base", empty), F.coalesce(F.transform("kept", lambda d: d["label"]), empty))
     # A base phrase alone counts as a name; several detections do not add up.

@@ -26,7 +26,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import held, table
 
 SPACE = r"[ \t\n\x0B\f\r]"
 WORD_CHAR = r"[^ \t\n\x0B\f\r]"
@@ -121,7 +121,7 @@ def _words(text: Column) -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """One row per input row: id, the base figures, cleaned_text, lost, base_failed and kept.
+    """One row per input row: id, the base figures, n_failed_lines, cleaned_text, lost, base_failed and kept.
 
     Windows of three words are compared by 64-bit hashes inside one text.
     """
@@ -155,7 +155,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("starts"),
-        F.array_join(good, "\n").alias("cleaned_text"),
+        F.size("lines").alias("n_lines"),
+        good.alias("good"),
     )
     rows = rows.select(
         "id",
@@ -166,9 +167,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         F.expr("aggregate(transform(starts, (s, j) -> least(3, coalesce(get(starts, j + 1) - s, 3))), 0L, (a, x) -> a + x)").alias(
             "n_repeat_words"
         ),
-        "cleaned_text",
-        count_of(F.col("cleaned_text"), WORD_CHAR).alias("left_chars"),
+        (F.col("n_lines") - F.size("good")).cast("long").alias("n_failed_lines"),
+        F.array_join("good", "\n").alias("cleaned_text"),
     )
+    rows = rows.withColumn("left_chars", count_of(F.col("cleaned_text"), WORD_CHAR))
     lost = F.when(F.col("word_chars") > 0, 1 - F.col("left_chars") / F.col("word_chars")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < rules.base_words) | (100 * F.col("n_repeat_words") > 100 * rules.base_repeat * F.col("n_words"))
     return rows.select(
@@ -178,10 +180,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
+        "n_failed_lines",
         "cleaned_text",
         lost.alias("lost"),
         failed.alias("base_failed"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.lost))
+    ).withColumn("kept", held(~F.col("base_failed") & (F.col("lost") <= rules.lost))[0])
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
