@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import exact_dedup, language, licenses, near_dup, packing, quality, urls, warc
+from strandline.llm import chat, exact_dedup, language, licenses, near_dup, packing, quality, urls, warc
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_neardup": near_dup.op3_minhash_neardup,
     "op4_line_quality": quality.op4_line_quality,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
+    "op7_quote_links": chat.op7_quote_links,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_trees": urls.op9_url_trees,
     "op10_pack_windows": packing.op10_pack_windows,
