@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat, exact_dedup, language, licenses, near_dup, packing, quality, urls, warc
+from strandline.llm import chat, exact_dedup, language, licenses, near_dup, packing, pieces, quality, urls, warc
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
     "op2_license_rules": licenses.op2_license_rules,
     "op3_minhash_neardup": near_dup.op3_minhash_neardup,
     "op4_line_quality": quality.op4_line_quality,
+    "op5_piece_lattice": pieces.op5_piece_lattice,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_quote_links": chat.op7_quote_links,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,

@@ -101,9 +101,14 @@ def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = SPACES)
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each span data[start:end]; A-Z count as a-z."""
-    up, down = _power_table(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return value_span_hashes(_BYTE[data], start, end)
+
+
+def value_span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of 64-bit values: a polynomial from prefix sums, mixed with the length."""
+    up, down = _power_table(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
