@@ -24,11 +24,12 @@ an empty table gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import textkernels as tk
 from strandline.llm.common import bounded_batches, table
 
 DOCUMENT, SENTENCE, ANYWHERE = 0, 1, 2
@@ -52,43 +54,144 @@ class Packing:
     stride: int = 128
     #: Windows of a block.
     block: int = 128
-    #: Words whose ids are remembered by a worker.
-    remembered: int = 200_000
+    #: Words whose ids a worker remembers; beyond it, it starts anew.
+    remembered: int = 400_000
 
 
-class WordIds:
-    """Ids of texts, word by word.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Code points up to which classes come from a table; texts beyond go through the tokenizer whole.
+TABLE_END = 0x250
+
+
+def _classes() -> np.ndarray:
+    """Class of each code point of the table: white space, letter, number, anything else."""
+    spaces = {*range(9, 14), 32, 0x85, 0xA0}
+    of = {"L": LETTER, "N": NUMBER}
+    return np.array([SPACE if c in spaces else of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(TABLE_END)], dtype=np.uint8)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
-    White space is dropped and nothing before it reaches across it, so a text's
-    ids are those of its words. Words are split at ASCII white space only;
-    other white space stays inside a word and is left to the tokenizer.
+
+class WordIds:
+    """Ids of texts under a byte-level BPE of words that lower-cases and drops white space.
+
+    Before its merges such a tokenizer cuts a text into contractions, runs of
+    letters, single numbers and runs of anything else, and the merges never
+    reach across. So a text's ids are those of its parts, and a part is
+    merged once and then remembered by its 64-bit hash. Texts with characters
+    beyond the table, or with the mark of a special token, go through the
+    tokenizer whole.
     """
 
     def __init__(self, tokenizer_json: str, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.remembered, self.known = remembered, {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.parts = Tokenizer.from_str(tokenizer_json)
+        self.parts.normalizer = normalizers.Sequence([])
+        self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
+        names = sorted(self.whole.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.ends_part, self.ends_sentence = np.zeros((2, names[-1][1] + 1), dtype=bool)
+        for name, i in names:
+            self.ends_part[i] = name.endswith("</w>")
+            self.ends_sentence[i] = name.endswith((".</w>", "!</w>", "?</w>"))
+        classes = _classes()
+        self.one = np.where(np.arange(256) < 128, np.resize(classes[:128], 256), OTHER).astype(np.uint8)
+        leads, more = np.meshgrid(np.arange(0xC2, 0xCA), np.arange(0x80, 0xC0), indexing="ij")
+        points = (leads - 0xC0) * 64 + more - 0x80
+        self.two = np.where(points < TABLE_END, classes[np.minimum(points, TABLE_END - 1)], OTHER).astype(np.uint8)
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.start, self.n = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        quick, lowered = [], []
+        for i, t in enumerate(texts):
+            if _BEYOND.search(t):
+                out[i] = np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4")
+            else:
+                low = t.decode().lower().encode()
+                if _BEYOND.search(low):
+                    out[i] = np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4")
+                else:
+                    quick.append(i)
+                    lowered.append(low)
+        for i, ids in zip(quick, self._quick(lowered)):
+            out[i] = ids
+        return out
 
-    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids and the numbers of ids up to which its sentences reach."""
-        split = [t.split() for t in texts]
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each part of lower-cased texts that stand end to end."""
+        kind = self.one[data]
+        lead = np.flatnonzero(data >= 0xC2)
+        kind[lead] = kind[lead + 1] = self.two[data[lead] - 0xC2, data[lead + 1] - 0x80]
+        inside, edge = kind != SPACE, np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        starts = np.ones(len(data), dtype=bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | edge[1:-1] | (kind[1:] == NUMBER)
+        starts &= inside & ((data & 0xC0) != 0x80)
+        # 's 't 'm 'd 're 've 'll at the start of a run of other characters
+        q = np.flatnonzero(starts & (data == 0x27))
+        if len(q):
+            padded, far = np.concatenate((data, np.zeros(3, dtype=np.uint8))), np.concatenate((edge, np.ones(3, dtype=bool)))
+            a, b = np.where(far[q + 1], 0, padded[q + 1]), np.where(far[q + 1] | far[q + 2], 0, padded[q + 2])
+            short = np.isin(a, list(b"stmd"))
+            long = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+            for which, size in ((short, 1), (long, 2)):
+                at = q[which]
+                starts[at + 1] = False
+                after = at + 1 + size
+                after = after[after < len(data)]
+                starts[after] |= (kind[after] == LETTER) & ~edge[after]
+        ends = inside.copy()
+        ends[:-1] &= ~inside[1:] | starts[1:] | edge[1:-1]
+        return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+    def _quick(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+            self._forget()
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        start, end = self.cut(data, offsets)
+        hashes, first, which = np.unique(tk.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        hashes = hashes.tolist()
+        found = list(map(self.known.get, hashes))
+        new = [i for i, k in enumerate(found) if k is None]
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = e.ids
-        out = []
-        for words in split:
-            ids = [known[w] for w in words]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            ends = np.fromiter((w[-1] in b".!?" for w in words), dtype=bool, count=len(words))
-            upto = np.cumsum(n)
-            out.append((np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(upto[-1]) if len(upto) else 0), upto[ends]))
-        return out
+            raw = data.tobytes()
+            parts = [raw[a:b].decode("latin-1").translate(self.letters) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+            joined = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.parts.encode_batch_fast(joined, add_special_tokens=False)])
+            stop = np.flatnonzero(self.ends_part[ids]) + 1
+            n = np.diff(stop, prepend=0)
+            for k, i in enumerate(new, len(self.n)):
+                found[i] = self.known[hashes[i]] = k
+            self.start, self.n = np.concatenate((self.start, stop - n + len(self.flat))), np.concatenate((self.n, n))
+            self.flat = np.concatenate((self.flat, ids))
+        k = np.array(found, dtype=np.int64)[which]
+        n = self.n[k]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.start[k] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[np.searchsorted(start, offsets)]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+#: A character beyond the table, or the mark of a special token.
+_BEYOND = re.compile(rb"[\xCA-\xFF]|\xC9[\x90-\xBF]|<\|")
 
 
 def cut_places(n: int, sentence_ends: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +313,19 @@ def pack(docs: DataFrame, tokenizer_json: str, p: Packing = Packing(), id_col: s
         packer = Packer(p, TaskContext.get().partitionId() << 40)
         end = np.array([p.end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                pieces = []
-                for doc_id, (ids, ends) in zip(part.column("id").to_pylist(), words.encode(part.column("text").to_pylist())):
-                    pieces.extend(packer.add(doc_id, np.concatenate((ids, end)), ends))
-                if pieces:
-                    yield batch_of(pieces)
+            ids_of, texts, size = [], [], 0
+            names, column = batch.column("id").to_pylist(), batch.column("text")
+            pieces: list[tuple] = []
+            for i, name in enumerate(names):
+                ids_of.append(name)
+                texts.append(column[i].as_py())
+                size += len(texts[-1])
+                if size >= tk.CHUNK_BYTES or i == len(names) - 1:
+                    for doc_id, ids in zip(ids_of, words.encode(texts)):
+                        pieces.extend(packer.add(doc_id, np.concatenate((ids, end)), np.flatnonzero(words.ends_sentence[ids]) + 1))
+                    ids_of, texts, size = [], [], 0
+            if pieces:
+                yield batch_of(pieces)
         pieces = list(packer.finish())
         if pieces:
             yield batch_of(pieces)
