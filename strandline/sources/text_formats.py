@@ -64,7 +64,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """member, cluster_id, cluster_size of a file with one cluster per line; predicted members (AF_, MA_) go."""
     members = F.filter(F.split(F.trim("value"), r"\s+"), lambda m: (m != "") & ~m.startswith("AF_") & ~m.startswith("MA_"))
     rows = spark.read.text(path).select(members.alias("members")).where(F.size("members") > 0)
-    return rows.select(F.lower(F.explode("members")).alias("member"), F.concat(F.lit("pdb_cluster_"), F.col("members")[0]).alias("cluster_id"), F.size("members").alias("cluster_size"))
+    return rows.select(F.explode(F.transform("members", F.lower)).alias("member"), F.concat(F.lit("pdb_cluster_"), F.col("members")[0]).alias("cluster_id"), F.size("members").alias("cluster_size"))
 
 
 def read_hhr(spark: SparkSession, path: str) -> DataFrame:
