@@ -16,8 +16,11 @@ components of the links.
 4. Links are confirmed on the full sets, and groups are merged.
 5. A star can miss links between its leaves. So a bucket whose members are still
    in several groups deals out further centres, more in each round, against
-   members of other groups, until every pair of a bucket is either in one group
-   or compared. No bucket, partner or candidate is capped.
+   members of other groups, until every pair of a bucket is in one group,
+   compared, or ruled out by sizes: elements that no other set of an open bucket
+   holds can't be common, and of the others two sets share in each slice of the
+   hash range at most the smaller count. Both bound the similarity from above.
+   No bucket, partner or candidate is capped.
 
 Defined results: null and empty texts have empty sets and stay alone; repeated
 rows share one node; an empty table gives an empty result; further columns
@@ -28,11 +31,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernels as tk
@@ -42,8 +44,13 @@ from strandline.llm.components import components
 #: Bytes of ids up to which a list of ids is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 ID_BYTES = 48
-#: Most centres that a bucket deals out in each round; the last number is repeated.
-CENTRES = (1, 8, 64, 512)
+#: Most centres that a bucket deals out in each round after the first, which has one; the last number is repeated.
+#: Buckets up to that size have all members as centres and are done.
+SLOTS = (1024, 16384)
+
+
+#: Slices of the hash range; in each, two sets share at most the smaller of their counts.
+SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -135,69 +142,126 @@ def _small(df: DataFrame, bytes_a_row: int = ID_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
+def _reach(p: NearDup, common: Column, union: Column) -> Column:
+    """Whether so many common elements of so many reach the threshold."""
+    return 100 * common >= p.percent * union
+
+
+def _in_several_groups(live: DataFrame) -> DataFrame:
+    """Rows (bucket, root, ...) of the buckets with more than one root."""
+    several = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    return live.join(several, "bucket", "left_semi")
+
+
+def _sizes(full: DataFrame) -> DataFrame:
+    """id, n (elements of its set), shared (those that another of these sets holds as well) and slices (shared, by slice of the hash)."""
+    elements = full.select("id", F.explode("set").alias("element"))
+    alone = elements.groupBy("element").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders")).where("holders = 1")
+    part = F.pmod("element", F.lit(SLICES)).cast("int").alias("slice")
+    marks = elements.select("id", part, F.lit(1).alias("k")).union(alone.select("id", part, F.lit(-1)))
+    counts = marks.groupBy("id", "slice").agg(F.sum("k").cast("int").alias("k"))
+    by_id = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slice", "k"))).alias("m"), F.sum("k").alias("shared"))
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    sizes = full.select("id", F.size("set").cast("long").alias("n"))
+    return sizes.join(by_id, "id").select("id", "n", "shared", slices.alias("slices"))
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, p: NearDup) -> DataFrame:
     """Those pairs (u, v) whose full sets reach the threshold."""
-    met = _small(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    full = full.join(met, "id", "left_semi")
     left = full.select(F.col("id").alias("u"), F.col("set").alias("a"))
     right = full.select(F.col("id").alias("v"), F.col("set").alias("b"))
     both = pairs.join(right, "v").join(left, "u")
-    share = Fraction(p.percent, 100)
     na, nb = F.size("a"), F.size("b")
-    possible = share.denominator * F.least(na, nb) >= share.numerator * F.greatest(na, nb)
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(possible).where(share.denominator * common >= share.numerator * (na + nb - common)).select("u", "v")
+    return both.where(_reach(p, F.least(na, nb), F.greatest(na, nb))).where(_reach(p, common, na + nb - common)).select("u", "v")
 
 
 def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = materialise(sign(rows, p), "near-signatures")
 
     # Equal sets: one representative, the smallest id, stands for all of them.
     classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copied = materialise(classes.where("copies > 1").select("h1", "h2", "rep"), "near-copies")
-    with_rep = signed.join(_small(copied, 64), ["h1", "h2"], "left").select("id", "n", "bands", F.coalesce("rep", "id").alias("rep"))
-    reps = with_rep.where("n > 0 AND id = rep").select("id", F.explode("bands").alias("bucket"))
-    sized = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    members = materialise(reps.join(sized, "bucket").distinct(), "near-buckets")
-
-    candidates = members.select("id").distinct()
+    copied = materialise(classes.where("copies > 1").select("h1", "h2", "rep"), "near-copied")
+    copies = materialise(signed.select("id", "h1", "h2").join(_small(copied, 64), ["h1", "h2"]).where("id <> rep").select("id", "rep").distinct(), "near-copies")
+
+    # Buckets of two members or more, each with its smallest id as the centre of a star.
+    reps = signed.where("n > 0").join(_small(copies), "id", "left_anti").select("id", F.explode("bands").alias("bucket"))
+    stars = reps.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = materialise(reps.join(stars, "bucket").distinct(), "near-buckets")
+    candidates = materialise(members.select("id").distinct(), "near-candidates")
     full = materialise(sets(rows.join(_small(candidates), "id", "left_semi"), p).dropDuplicates(["id"]), "near-sets")
 
-    # Rounds of stars; links of one round save comparisons in the next.
-    links, roots, done = None, None, 0
-    live = members.withColumn("root", F.col("id"))
+    pairs = materialise(members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
+    roots = components(materialise(_confirmed(pairs, full, p), "near-links"))
+    rest, done = members.where("id <> centre").select("bucket", "id"), 0
     while True:
-        # One centre for each slot: the least id, so that map-side combine bounds every partial result.
-        slot = F.pmod(F.xxhash64("id", F.lit(done)), F.lit(CENTRES[min(done, len(CENTRES) - 1)]))
-        centres = materialise(live.groupBy("bucket", slot.alias("slot")).agg(F.min("id").alias("u")).select("bucket", "u"), "near-centres")
-        if centres.isEmpty():
+        # Buckets whose members, less the centres so far, are in several groups.
+        live = rest.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        live = materialise(_in_several_groups(live), "near-open")
+        if live.isEmpty():
+            break
+        # What no other open set holds can't be shared, and bounds each set's similarity to any of them.
+        ids = materialise(live.select("id").distinct(), "near-candidates")
+        open_sets = full.join(_small(ids), "id", "left_semi")
+        bands = signed.select("id", "bands").join(_small(ids), "id", "left_semi").dropDuplicates(["id"])
+        sizes = materialise(_sizes(open_sets).join(bands, "id"), "near-sizes")
+        live = _in_several_groups(live.join(_small(sizes.where(_reach(p, F.col("shared"), F.col("n")))), "id"))
+        live = materialise(live.join(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket"), "near-open")
+        slots = SLOTS[min(done, len(SLOTS) - 1)]
+        # The least id of each slot is a centre, so map-side combine bounds what is kept; in small buckets all members are.
+        slot = F.when(F.col("size") <= slots, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(done)), F.lit(slots)))
+        centres = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "root", "n", "shared", "slices", "bands")).alias("c")).select("bucket", "c.*")
+        a, b = {k: F.col(f"m.{k}") for k in ("id", "root", "n", "shared")}, {k: F.col(f"c.{k}") for k in ("id", "root", "n", "shared")}
+        union = F.greatest(a["shared"], b["shared"]) + (a["n"] - a["shared"]) + (b["n"] - b["shared"])
+        possible = _reach(p, F.least(a["shared"], b["shared"]), union)
+        common = F.aggregate(F.zip_with("m.slices", "c.slices", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        by_slices = _reach(p, common, a["n"] + b["n"] - common)
+        once = F.when(F.col("size") <= slots, a["id"] > b["id"]).otherwise(a["id"] != b["id"])
+        # A pair is dealt in the first of the buckets that it shares; there it stays until it is compared or in one group.
+        here = F.array_intersect("m.bands", "c.bands")[0] == F.col("m.bucket")
+        met = live.alias("m").join(centres.alias("c"), (F.col("m.bucket") == F.col("c.bucket")) & once & (a["root"] != b["root"]) & possible & here & by_slices)
+        pairs = materialise(met.select(F.least(a["id"], b["id"]).alias("u"), F.greatest(a["id"], b["id"]).alias("v")).distinct(), "near-pairs")
+        links = materialise(_confirmed(pairs, open_sets, p), "near-links")
+        if not links.isEmpty():
+            roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        # A centre has met every member of its bucket; small buckets are done.
+        large = live.where(F.col("size") > slots).select("bucket", "id")
+        if large.isEmpty():
             break
-        met = live.join(centres.join(live.select("bucket", F.col("id").alias("u"), F.col("root").alias("u_root")), ["bucket", "u"]), "bucket")
-        pairs = met.where("id <> u AND root <> u_root").select(F.least("id", "u").alias("u"), F.greatest("id", "u").alias("v"))
-        found = _confirmed(materialise(pairs.distinct(), "near-pairs"), full, p)
-        links = materialise(found if links is None else links.union(found), "near-links")
-        roots = components(links)
-        # A centre has met all members of its bucket; buckets within one group are closed.
-        rest = members.join(centres.withColumnRenamed("u", "id"), ["bucket", "id"], "left_anti")
-        members = materialise(rest, "near-buckets")
-        live = members.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        is_open = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        live = materialise(live.join(is_open, "bucket", "left_semi"), "near-open")
+        rest = large.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
         done += 1
 
-    if links is None or links.isEmpty():
-        joined = with_rep.withColumn("root", F.col("rep"))
-    else:
-        roots = materialise(roots.withColumnRenamed("node", "rep"), "near-roots")
-        joined = with_rep.join(_small(roots), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    return joined.select("id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
+    roots = _small(roots.withColumnRenamed("node", "rep"))
+    joined = signed.select("id", "n").join(_small(copies), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(roots, "rep", "left")
+    root = F.coalesce("root", "rep")
+    return joined.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("id") == root).alias("kept"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: shingles of three words, similarity of 0.85 or more."""
     found = near_dup(table(spark, sf_dir, "documents"), NearDup(shingle=3, percent=85))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+#: All pairs by shared shingles; for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+sets AS (
+  SELECT DISTINCT doc_id, [w[i], w[i + 1], w[i + 2]] AS g FROM places
+  UNION ALL SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 2
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+walk AS (SELECT DISTINCT u AS node, u AS seen FROM both_ways UNION SELECT node, v FROM walk JOIN both_ways ON u = seen),
+roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = d.doc_id
+"""
