@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_minhash_neardup": near_dup.OP3_SQL,
     "op4_line_quality": quality.OP4_SQL,
+    "op6_warc_round_trip": warc.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -56,3 +56,11 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     if spark.conf.get("strandline.arrow.bound", None) is None:
         spark.conf.set(key, str(megabytes << 20))
         spark.conf.set("strandline.arrow.bound", "set")
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what the operators wrote to the shared folder, once no result that reads it is needed."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strandline.local.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/strandline")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -246,3 +246,20 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = root if "://" in root or root.startswith("file:") else f"file://{root}"
     manifest = write(table(spark, sf_dir, "pages"), root)
     return read(spark, root, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A digest's 160 bits as text, cut into 32 letters of five.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+bits AS (
+  SELECT page_id, strlen(body) AS payload_bytes, min(page_id) OVER (PARTITION BY body) AS first,
+         array_to_string(list_transform(string_split(sha1(body), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', c) * 4 - 3, 4)), '') AS b
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(b, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(b, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(b, i * 5 + 3, 1) AS INT)
+           + 2 * CAST(substr(b, i * 5 + 4, 1) AS INT) + CAST(substr(b, i * 5 + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM bits
+"""

@@ -148,3 +148,13 @@ def test_chat_runs_across_blocks(spark):
     assert out[chat.BLOCK]["reply_to"] == chat.BLOCK - 1 and out[n - 2]["reply_to"] == 0 and out[n - 1]["reply_to"] == n - 2
     order = sorted(out, key=lambda t: out[t]["reply_path"])
     assert order == list(range(n))
+
+
+def test_shared_folder_can_be_cleared(spark):
+    from strandline.llm.common import clear_shared, materialise
+
+    df = materialise(spark.range(3).toDF("n"), "test")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and __import__("os").path.exists(path)
+    clear_shared(spark)
+    assert not __import__("os").path.exists(path)
