@@ -8,7 +8,8 @@ row are hits; their bytes are compared before any row is given up.
 
 Defined results: a null text equals the empty text; equal texts form one group
 whatever their other columns hold; repeated rows (same id and text) count as
-rows of their group; an empty table gives an empty result; further columns of
+rows of their group; a row without an id is counted but never the one that stays;
+an empty table gives an empty result; further columns of
 the input are never read, so their names cannot clash.
 
 Only DataFrame operations run here. The hot group of a third of all rows is
@@ -131,7 +132,7 @@ def exact_dedup(
     regrouped = index.verify(docs, id_col, text_col)
     if regrouped is not None:
         found = found.join(regrouped.select("digest").distinct(), "digest", "left_anti").unionByName(regrouped)
-    return found.select("id", "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
+    return found.select("id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

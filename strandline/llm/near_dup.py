@@ -22,8 +22,8 @@ components of the links.
    hash range at most the smaller count. Both bound the similarity from above.
    No bucket, partner or candidate is capped.
 
-Defined results: null and empty texts have empty sets and stay alone; repeated
-rows share one node; an empty table gives an empty result; further columns
+Defined results: null and empty texts have empty sets and stay alone; rows
+without an id are in no group and not kept; repeated rows share one node; an empty table gives an empty result; further columns
 are not read.
 """
 
@@ -180,7 +180,8 @@ def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", te
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialise(sign(rows, p), "near-signatures")
+    every = materialise(sign(rows, p), "near-signatures")
+    signed = every.where("id IS NOT NULL")
 
     # Equal sets: one representative, the smallest id, stands for all of them.
     classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -235,9 +236,9 @@ def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", te
         done += 1
 
     roots = _small(roots.withColumnRenamed("node", "rep"))
-    joined = signed.select("id", "n").join(_small(copies), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(roots, "rep", "left")
+    joined = every.select("id", "n").join(_small(copies), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(roots, "rep", "left")
     root = F.coalesce("root", "rep")
-    return joined.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("id") == root).alias("kept"))
+    return joined.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ again writes the same bytes to the same names.
 Of records with equal payloads (of a least size), that with the smallest id is a
 response and the others are revisits that refer to it.
 
-Defined results: a null payload is empty; a null URL becomes urn:page:<id>; rows
+Defined results: a null payload is empty; a null URL becomes urn:page:<id>; a row
+without an id is always a response and is read back without one; rows
 with the same id and payload are all responses, or all revisits of a smaller id;
 an empty table gives an archive without files; further columns are not read.
 """
@@ -58,15 +59,15 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
 
 
-def _uri(url: str | None, page_id: int) -> str:
+def _uri(url: str | None, page_id: int | None) -> str:
     return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page_id}"
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, a: Archive) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, a: Archive) -> bytes:
     """One gzip member with a response, or with a revisit where refers_to is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
@@ -76,7 +77,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None,
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {a.date}",
         f"WARC-Target-URI: {_uri(url, page_id)}",
-        f"WARC-Page-ID: {page_id}",
+        f"WARC-Page-ID: {'' if page_id is None else page_id}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{_sha1(block)}",
@@ -151,7 +152,7 @@ def write(pages: DataFrame, root: str, a: Archive = Archive(), id_col: str = "pa
 
     # The smallest id of each repeated payload; combined map-side, so a hot payload is one row for each task.
     first = F.min(F.struct("id", "url"))
-    repeated = sized.where(F.col("n") >= a.least_bytes).groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    repeated = sized.where((F.col("n") >= a.least_bytes) & F.col("id").isNotNull()).groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = sized.join(repeated.select("digest", F.col("f.id").alias("refers_to"), F.col("f.url").alias("refers_url")), "digest")
     revisits = revisits.where("id <> refers_to").select("id", "digest", "refers_to", "refers_url").distinct()
 
@@ -223,7 +224,8 @@ def read(spark: SparkSession, root: str, manifest: DataFrame, with_payload: bool
                             raise ValueError(f"record {head['WARC-Record-ID']} of {name} does not have its digest")
                         n = int(http.decode().lower().partition("content-length:")[2].split("\r\n")[0])
                         refers_to = head.get("WARC-Refers-To-Page-ID")
-                        out.append((int(head["WARC-Page-ID"]), head["WARC-Target-URI"], kind, n, digest, refers_to and int(refers_to), payload if with_payload and kind == "response" else None))
+                        page_id = head["WARC-Page-ID"]
+                        out.append((int(page_id) if page_id else None, head["WARC-Target-URI"], kind, n, digest, refers_to and int(refers_to), payload if with_payload and kind == "response" else None))
                         size += len(payload) + 200
                         if size > 4 << 20:
                             yield _batch(out)

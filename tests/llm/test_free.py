@@ -309,3 +309,26 @@ def test_word_ids_equal_the_tokenizer():
     for i in range(0, len(texts), 41):
         for t, ids in zip(texts[i : i + 41], words.encode([x.encode() for x in texts[i : i + 41]])):
             assert ids.tolist() == words.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_rows_without_an_id(spark):
+    """No operator fails on them, and each keeps its rows."""
+    texts = ["same words in both rows here", "same words in both rows here", None, "other text, of its own."]
+    df = spark.createDataFrame([(None if i % 2 else i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    from strandline.llm import chat, exact_dedup, licenses, quality, stages
+
+    assert near_dup.near_dup(df, near_dup.NearDup(3, 85)).where("NOT kept AND component_id IS NULL").count() == 2
+    assert exact_dedup.exact_dedup(df).where("kept").count() == 2
+    assert quality.judge(df).count() == licenses.scan(df).count() == pieces.encode(df, pieces.PieceTable.load()).count() == 4
+    assert packing.pack(df, packing.tokenizer_text()).select("start").count() >= 4
+    assert language.predict(df, language.learn(df.withColumnRenamed("doc_id", "id"))).count() == 4
+    assert stages.exact_stage(spark, df, "").count() == 4
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    assert urls.judge(pages).count() == 4
+    from strandline.llm.common import shared_folder
+
+    root = shared_folder(spark, "warc")
+    got = warc.read(spark, root, warc.write(pages, root)).collect()
+    assert sorted((r["page_id"] is None, r["record_type"]) for r in got) == [(False, "response")] * 2 + [(True, "response")] * 2
+    messages = df.select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), "text")
+    assert chat.reply_order(messages).count() == 4
