@@ -122,3 +122,20 @@ def stockholm(name: Callable[[Column], Column] = lambda r: r.cast("string")) ->
         return both.select("query", "row", name(F.col("row")).alias("name"), F.array_join(seq, "").alias("seq"))
 
     return convert
+
+
+def a3m_of_stockholm(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """query, row, name, seq from Stockholm lines (query, pos, line): blocks are joined, columns where the first row has a gap become insertions."""
+    from pyspark.sql import Window as W
+
+    from strandline.functions import sequences as S
+
+    parts = lines.where("line <> '' AND NOT startswith(line, '#') AND NOT startswith(line, '//')")
+    parts = parts.select("query", "pos", F.regexp_extract("line", r"^(\S+)", 1).alias("name"), F.replace(F.regexp_extract("line", r"^\S+\s+(\S+)", 1), F.lit("."), F.lit("-")).alias("part"))
+    rows = parts.groupBy("query", "name").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    rows = rows.select("query", "name", "first", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("aligned"))
+    rows = rows.withColumn("row", F.row_number().over(W.partitionBy("query").orderBy("first")) - 1)
+    if most is not None:
+        rows = rows.where(F.col("row") < most)
+    head = rows.where("row = 0").select("query", F.col("aligned").alias("head"))
+    return rows.join(head, "query").select("query", "row", "name", S.align_to_query(F.col("aligned"), F.col("head")).alias("seq"))

@@ -153,3 +153,42 @@ def renamed_atoms(atoms: DataFrame, element: str = "element") -> DataFrame:
     """Names of atoms as element and running number within the residue."""
     w = W.partitionBy("pdb_id", "chain_id", "res_id", element).orderBy("atom_idx")
     return atoms.withColumn("new_name", F.concat(F.upper(element), F.row_number().over(w).cast("string")))
+
+
+def fix_arginine(atoms: DataFrame) -> DataFrame:
+    """Swap the positions of NH1 and NH2 of an arginine where NH2 is nearer to CD; a residue without one of the three stays."""
+    by = ["pdb_id", "chain_id", "res_id"]
+    at = lambda name, c: F.max(F.when(F.col("atom_name") == name, F.col(c)))
+    names = ("CD", "NH1", "NH2")
+    spots = atoms.where((F.col("res_name") == "ARG") & F.col("atom_name").isin(*names)).groupBy(*by).agg(*[at(n, c).alias(f"{n}_{c}") for n in names for c in "xyz"])
+    d2 = lambda n: F.pow(F.col(f"{n}_x") - F.col("CD_x"), 2) + F.pow(F.col(f"{n}_y") - F.col("CD_y"), 2) + F.pow(F.col(f"{n}_z") - F.col("CD_z"), 2)
+    swaps = spots.where(d2("NH2") < d2("NH1"))
+    rows = atoms.join(swaps, by, "left")
+    swapped = (F.col("res_name") == "ARG") & F.col("CD_x").isNotNull()
+    new = {c: F.when(swapped & (F.col("atom_name") == "NH1"), F.col(f"NH2_{c}")).when(swapped & (F.col("atom_name") == "NH2"), F.col(f"NH1_{c}")).otherwise(F.col(c)) for c in "xyz"}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in atoms.columns])
+
+
+def label_numbering(atoms: DataFrame) -> DataFrame:
+    """Chains named by label_asym_id; residues without a label number are numbered from 1 within their chain."""
+    w = W.partitionBy("pdb_id", "label_asym_id").orderBy("res_id")
+    number = F.coalesce(F.col("label_seq_id").try_cast("long"), F.dense_rank().over(w).cast("long"))
+    return atoms.withColumn("_n", number).withColumn("chain_id", F.col("label_asym_id")).withColumn("res_id", F.col("_n")).drop("_n")
+
+
+def token_atom_index(atoms: DataFrame, positions: DataFrame) -> DataFrame:
+    """Adds tokatom_idx, the place of an atom in its residue's dictionary (res_name, atom_name, place); 0 where there is none."""
+    return atoms.join(positions, ["res_name", "atom_name"], "left").withColumn("tokatom_idx", F.coalesce("place", F.lit(0))).drop("place")
+
+
+def canonical_names(atoms: DataFrame, letters: DataFrame, standard: dict[str, dict[str, str]], unknown: dict[str, str]) -> DataFrame:
+    """Adds cano_res_name: the standard residue of the same letter and molecule type, else the type's unknown.
+
+    letters: res_name, letter; standard: type -> letter -> residue; unknown: type -> residue.
+    """
+    pairs = [(f"{t}/{letter}", name) for t, m in standard.items() for letter, name in m.items()]
+    of = F.create_map(*[F.lit(x) for p in pairs for x in p])
+    other = F.create_map(*[F.lit(x) for p in unknown.items() for x in p])
+    rows = atoms.join(letters, "res_name", "left")
+    name = F.coalesce(F.try_element_at(of, F.concat_ws("/", "mol_type", "letter")), F.try_element_at(other, F.col("mol_type")))
+    return rows.withColumn("cano_res_name", F.when(F.col("letter").isNull(), F.try_element_at(other, F.col("mol_type"))).otherwise(name)).drop("letter")

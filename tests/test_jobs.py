@@ -61,3 +61,28 @@ def test_stockholm(spark):
     assert got == {0: "-A--CD--", 1: "-AXYC---", 2: "ZA---DWW"}
     assert len({len(s) for s in got.values()}) == 1
     assert jobs.stockholm(lambda r: F.concat(F.lit("s"), r.cast("string")))(msa).where("row = 1").first()["name"] == "s1"
+
+
+def test_a3m_of_stockholm(spark):
+    text = ["# STOCKHOLM 1.0", "a AC--", "b -CXD", "", "a D", "b D", "//"]
+    lines = spark.createDataFrame([("q", i, x) for i, x in enumerate(text)], "query string, pos long, line string")
+    got = {r["name"]: (r["row"], r["seq"]) for r in jobs.a3m_of_stockholm(lines).collect()}
+    assert got == {"a": (0, "ACD"), "b": (1, "-CxdD")}
+    assert jobs.a3m_of_stockholm(lines, 1).count() == 1
+
+
+def test_residue_fixes(spark):
+    from strandline.operators import structure
+
+    columns = "pdb_id long, chain_id string, res_id long, res_name string, atom_name string, x double, y double, z double"
+    rows = [(1, "A", 1, "ARG", "CD", 0.0, 0.0, 0.0), (1, "A", 1, "ARG", "NH1", 5.0, 0.0, 0.0), (1, "A", 1, "ARG", "NH2", 1.0, 0.0, 0.0), (1, "A", 2, "ARG", "NH1", 5.0, 0.0, 0.0), (1, "A", 3, "GLY", "NH1", 9.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, columns)
+    got = {(r["res_id"], r["atom_name"]): r["x"] for r in structure.fix_arginine(df).collect()}
+    assert got == {(1, "CD"): 0.0, (1, "NH1"): 1.0, (1, "NH2"): 5.0, (2, "NH1"): 5.0, (3, "NH1"): 9.0}
+    labelled = df.withColumn("label_asym_id", F.lit("B")).withColumn("label_seq_id", F.when(F.col("res_id") == 1, "7").otherwise("."))
+    assert {(r["chain_id"], r["res_id"]) for r in structure.label_numbering(labelled).collect()} == {("B", 7), ("B", 2), ("B", 3)}
+    places = spark.createDataFrame([("ARG", "NH1", 8)], "res_name string, atom_name string, place int")
+    assert {(r["res_name"], r["atom_name"], r["tokatom_idx"]) for r in structure.token_atom_index(df, places).collect()} >= {("ARG", "NH1", 8), ("GLY", "NH1", 0)}
+    letters = spark.createDataFrame([("GLY", "G"), ("ARG", "X")], "res_name string, letter string")
+    named = structure.canonical_names(df.withColumn("mol_type", F.lit("protein")), letters, {"protein": {"G": "GLY"}}, {"protein": "UNK"})
+    assert {(r["res_name"], r["cano_res_name"]) for r in named.collect()} == {("GLY", "GLY"), ("ARG", "UNK")}
