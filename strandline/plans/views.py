@@ -93,7 +93,7 @@ v_pairs AS (
 
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment rows: query, row, species, and a sequence whose lower-case letters are insertions."""
-    letters = F.substring(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), 1, 200)
+    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
     return table(spark, sf_dir, "documents").select(
         F.col("lang").alias("query"), F.col("doc_id").alias("row"), F.col("source").alias("species"), F.translate(letters, "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ").alias("seq")
     )
@@ -102,7 +102,7 @@ def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
 MSA = """
 v_msa AS (
   SELECT lang AS query, doc_id AS row, source AS species,
-         translate(left(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 200), 'bcdfghjklmnpqrstvwxyz', 'BCDFGHJKLMNPQRSTVWXYZ') AS seq
+         translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'bcdfghjklmnpqrstvwxyz', 'BCDFGHJKLMNPQRSTVWXYZ') AS seq
   FROM documents)"""
 
 
