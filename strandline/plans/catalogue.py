@@ -36,6 +36,16 @@ def r6(name: str):
     return F.round(name, 6).alias(name)
 
 
+def chain_name_sql(n: str) -> str:
+    """1 -> A, 26 -> Z, 27 -> AA as SQL, up to six letters: names of each length in turn, counted from their first."""
+    cases, first = [], 1
+    for size in range(1, 7):
+        letters = " || ".join(f"chr((65 + ({n} - {first}) // {26**k} % 26)::INT)" for k in reversed(range(size)))
+        cases.append(f"WHEN {n} < {first + 26**size} THEN {letters}")
+        first += 26**size
+    return f"CASE WHEN {n} < 1 THEN '' {' '.join(cases)} ELSE '' END"
+
+
 # --- index table ---
 
 KEYED = (
@@ -270,12 +280,12 @@ def missing_atoms(spark, sf_dir):
 @query(
     "WITH "
     + ATOMS.strip()
-    + ", ops AS (SELECT n_nationkey AS op, n_nationkey % 4 AS c FROM nation WHERE n_nationkey < 8) SELECT op AS op_id, chain_id, count(*) AS n, round(sum(-y + op), 4) AS x, round(sum(x), 4) AS y, round(sum(z - op), 4) AS z FROM v_atoms JOIN ops ON chain_id = c GROUP BY ALL"
+    + ", ops AS (SELECT n_nationkey AS op, n_nationkey % 4 AS c FROM nation) SELECT op AS op_id, chain_id, count(*) AS n, round(sum(-y + op), 4) AS x, round(sum(x), 4) AS y, round(sum(z - op), 4) AS z FROM v_atoms JOIN ops ON chain_id = c GROUP BY ALL"
 )
 def assembly_cross(spark, sf_dir):
     op = F.col("n_nationkey")
     matrix = {"r11": 0, "r12": -1, "r13": 0, "r21": 1, "r22": 0, "r23": 0, "r31": 0, "r32": 0, "r33": 1}
-    ops = table(spark, sf_dir, "nation").where("n_nationkey < 8").select(
+    ops = table(spark, sf_dir, "nation").select(
         op.alias("op_id"), F.array((op % 4).cast("long")).alias("chains"), *[F.lit(float(v)).alias(k) for k, v in matrix.items()], op.cast("double").alias("t1"), F.lit(0.0).alias("t2"), (-op).cast("double").alias("t3")
     )
     out = structure.expand_assembly(views.atoms(spark, sf_dir), ops).groupBy("op_id", "chain_id")
@@ -705,7 +715,7 @@ def score_sessions(spark, sf_dir):
     return scores.sessions(table(spark, sf_dir, "events"))
 
 
-@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey <= 26 THEN chr((64 + s_suppkey)::INT) ELSE chr((64 + (s_suppkey - 1) // 26)::INT) || chr((65 + (s_suppkey - 1) % 26)::INT) END AS chain, regexp_replace(s_name, '[0-9]', '', 'g') AS bare FROM supplier WHERE s_suppkey BETWEEN 1 AND 700")
+@query(f"SELECT s_suppkey AS k, {chain_name_sql('s_suppkey')} AS chain, regexp_replace(s_name, '[0-9]', '', 'g') AS bare FROM supplier")
 def chain_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 700")
+    rows = table(spark, sf_dir, "supplier")
     return rows.select(F.col("s_suppkey").alias("k"), S.letters_of_number(F.col("s_suppkey")).alias("chain"), S.without_digits(F.col("s_name")).alias("bare"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import sequences as S
 from strandline.operators import annotations, spatial
 from strandline.plans import views
-from strandline.plans.catalogue import query, r6
+from strandline.plans.catalogue import chain_name_sql, query, r6
 from strandline.plans.views import ATOMS, INDEX, PAIRS, table
 
 STANDARD = ("ALA", "GLY", "N")
@@ -67,21 +67,24 @@ def masked_mean(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT l_suppkey % 5 AS entity1, l_suppkey % 3 AS entity2, l_linenumber::BIGINT AS position, l_orderkey % 2 AS copy1, l_orderkey % 2 AS copy2 FROM lineitem WHERE l_orderkey <= 8 GROUP BY ALL),
+    """WITH b AS (SELECT l_suppkey % 5 AS entity1, l_suppkey % 3 AS entity2, l_linenumber::BIGINT AS position, l_orderkey % 2 AS copy1, l_orderkey % 2 AS copy2 FROM lineitem GROUP BY ALL),
 g AS (SELECT entity1, entity2, position, count(*) = 2 AS whole FROM b GROUP BY ALL)
 SELECT entity1, entity2, position, copy1, copy2 FROM b JOIN g USING (entity1, entity2, position) WHERE NOT whole UNION ALL SELECT entity1, entity2, position, NULL, NULL FROM g WHERE whole"""
 )
 def covalent_bond_merge(spark, sf_dir):
     k = F.col("l_orderkey") % 2
-    bonds = table(spark, sf_dir, "lineitem").where("l_orderkey <= 8").select((F.col("l_suppkey") % 5).alias("entity1"), (F.col("l_suppkey") % 3).alias("entity2"), F.col("l_linenumber").cast("long").alias("position"), k.alias("copy1"), k.alias("copy2")).distinct()
+    bonds = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("entity1"), (F.col("l_suppkey") % 3).alias("entity2"), F.col("l_linenumber").cast("long").alias("position"), k.alias("copy1"), k.alias("copy2")).distinct()
     counts = spark.range(5).select(F.col("id").alias("entity"), F.lit(2).alias("n"))
     return annotations.merge_copies(bonds, counts, ["position"])
 
 
-@query("SELECT n_nationkey::BIGINT AS entity, unnest(range(1, n_nationkey % 3 + 2)) AS copy, chr((64 + unnest(range(1, n_nationkey % 3 + 2)) + coalesce(sum(n_nationkey % 3 + 1) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT) AS chain FROM nation WHERE n_nationkey < 9")
+@query(
+    "WITH c AS (SELECT n_nationkey::BIGINT AS entity, unnest(range(1, n_nationkey % 3 + 2)) AS copy, unnest(range(1, n_nationkey % 3 + 2)) + coalesce(sum(n_nationkey % 3 + 1) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM nation) "
+    + f"SELECT entity, copy, {chain_name_sql('nth')} AS chain FROM c"
+)
 def entity_copies(spark, sf_dir):
     n = F.col("n_nationkey").cast("long")
-    entities = table(spark, sf_dir, "nation").where("n_nationkey < 9").select(n.alias("entity"), (n % 3 + 1).alias("n"))
+    entities = table(spark, sf_dir, "nation").select(n.alias("entity"), (n % 3 + 1).alias("n"))
     return annotations.entity_copies(entities, S.letters_of_number).select("entity", "copy", "chain")
 
 
