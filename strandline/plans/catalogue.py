@@ -538,14 +538,14 @@ def species_regex(spark, sf_dir):
 TAXED = (
     "WITH "
     + TAX.strip()
-    + """, last AS (SELECT hit, arg_max(taxid, pos) AS taxid FROM v_m8 WHERE pos % 5 <> 0 GROUP BY hit), rec AS (SELECT s_name AS hit, s_suppkey AS row FROM supplier),
+    + """, last AS (SELECT hit, arg_max(taxid, pos) AS taxid FROM v_m8 GROUP BY hit), rec AS (SELECT s_name AS hit, s_suppkey AS row FROM supplier),
 joined AS (SELECT row, hit, taxid, CASE WHEN taxid IS NULL THEN hit ELSE 'UniRef100_' || regexp_replace(hit, '^UniRef100_', '') || '_' || taxid || '/' END AS header FROM rec LEFT JOIN last USING (hit))"""
 )
 
 
 def _taxed(spark, sf_dir):
     records = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("hit"), F.col("s_suppkey").alias("row"))
-    return alignment.with_taxid(records, views.tax_ids(spark, sf_dir).where("pos % 5 <> 0"))
+    return alignment.with_taxid(records, views.tax_ids(spark, sf_dir))
 
 
 @query(TAXED + " SELECT row, hit, taxid, header FROM joined")
