@@ -2,8 +2,9 @@ r"""License detection by ordered signature rules.
 
 A text's words are its runs of letters, digits and characters beyond ASCII,
 with A-Z lower-cased. Rules are regular expressions over these words, joined
-by single spaces. Each rule has a keyword, and only rules whose keyword stands
-in the text are tried; a text without any keyword is not looked at further.
+by single spaces. Each rule has a keyword, which stands in all that its pattern
+accepts. Only rules whose keyword stands in the text are tried; a text without
+any keyword is not looked at further.
 
 Detections are intervals. One that lies within another's interval is
 suppressed (of equal intervals the rule with the better priority stays); of two
@@ -50,7 +51,8 @@ NAMES = (
     ("gpl", "gnu general public", r"gnu general public licen[sc]e", "gpl"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?", None),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?", None),
-    ("lgpl-2.0", "lesser general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e (?:version |v )?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.0", "library general public", r"(?:gnu )?library general public licen[sc]e (?:version |v )?2(?: 0)?", None),
     ("lgpl-2.1", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
     ("lgpl", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e", "lgpl"),
@@ -141,7 +143,8 @@ OTHERS = (
     (6, 0.6, "proprietary", "rights reserved", r"(?:all|some) rights reserved"),
     (6, 0.6, "proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     (7, 0.4, "copyright", "copyright", r"copyright (?:c )?(?:1[89]|20)[0-9]{2}"),
-    (8, 0.3, "licensed", "licen", r"(?:licen[sc]ed|released) under"),
+    (8, 0.3, "licensed", "licen", r"licen[sc]ed under"),
+    (8, 0.3, "licensed", "released under", r"released under"),
 )
 
 
@@ -219,7 +222,7 @@ def _gate(text: Column) -> Column:
     """Whether a text, in lower case, can have any keyword or base phrase; words of a keyword may stand apart in other ways than by spaces."""
     firsts = sorted({k.split(" ")[0] for k in [r.keyword for r in rules()] + [p for p, _ in BASE]} - {"cc"})
     # A word that begins with another first word, or is very common, is left to its phrase below.
-    phrases = {"free", "permission", "public", "common", "open", "data", "microsoft", "rights", "provided", "python", "server", "business", "european", "elastic", "boost", "mit", "isc", "ruby"}
+    phrases = {"free", "permission", "public", "common", "open", "data", "microsoft", "rights", "provided", "python", "server", "business", "european", "elastic", "boost", "mit", "isc", "ruby", "library", "released"}
     plain = [w for w in firsts if w not in phrases]
     loose = sorted({k for k in [r.keyword for r in rules()] + [p for p, _ in BASE] if k.split(" ")[0] in phrases | {"cc"}})
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

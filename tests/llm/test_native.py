@@ -123,6 +123,45 @@ def test_every_rule_passes_its_gate(spark):
     assert all(r["g"] for r in rows)
 
 
+def words_of(parsed, rng):
+    """A text that a parsed pattern accepts, with random choices."""
+    out = ""
+    for op, value in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(value)
+            case "IN":
+                kind, x = rng.choice(value)
+                out += chr(x if str(kind) == "LITERAL" else rng.randint(*x))
+            case "BRANCH":
+                out += words_of(rng.choice(value[1]), rng)
+            case "SUBPATTERN":
+                out += words_of(value[-1], rng)
+            case "MAX_REPEAT":
+                least, most, part = value
+                out += "".join(words_of(part, rng) for _ in range(rng.randint(least, min(most, 2))))
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_keywords_drop_nothing_that_a_pattern_accepts(spark, monkeypatch):
+    from dataclasses import replace
+    from re import _parser
+
+    rng, rules = random.Random(2), licenses.rules()
+    examples = [(r, words_of(_parser.parse(r.pattern), rng)) for r in rules for _ in range(12)]
+    assert [x for r, x in examples if r.keyword not in x] == []
+    texts = [x for _, x in examples]
+    assert docs_of(spark, texts).where(~licenses._gate(F.lower("text"))).count() == 0
+    some = ["GNU Library General Public License version 2", "Released under the GNU Library General Public Licence 2.0", "It was released under my own terms.", "RELEASED - under: x", *rng.sample(texts, 200)]
+    got = sorted(licenses.scan(docs_of(spark, some)).drop("detections").collect())
+    monkeypatch.setattr(licenses, "rules", lambda: [replace(r, keyword="") for r in rules])  # brute_scan tries every pattern
+    for r, t in zip(got, some):
+        assert tuple(r)[1:] == brute_scan(t), t
+    assert [r["labels"] for r in got[:4]] == ["lgpl-2.0", "lgpl-2.0", "licensed", "licensed"]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "Fine."), (1, 2, "u", "On Monday Bob wrote:\n> hello  THERE.\n> How are you?\n>> older\nI replied to the first."), (1, 3, "a", "continue 2"),
