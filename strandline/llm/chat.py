@@ -4,8 +4,8 @@ A line's quote level is the number of > before it. Consecutive lines of one leve
 make a passage. Quoted passages are normalised (quote marks gone, lower case,
 white space folded) and hashed, and so are the own passages and lines of all
 messages of the conversation; a quote is linked to the earliest message that has
-its hash, if that stands before it, else to the one that most of its lines are
-linked to. A message replies to the latest message that its outermost quotes are
+its hash, if that stands before it, else to the one that most of its paragraphs
+and lines are linked to. A message replies to the latest message that its outermost quotes are
 linked to, and without such a link to the message before it.
 
 Reply order: a message is followed by the message after it, unless that replies
@@ -78,20 +78,18 @@ def parse(messages: DataFrame) -> DataFrame:
     )
 
 
-def _keys(text: Column, blocks: bool) -> Column:
+def _keys(text: Column) -> Column:
     """Hashes of a text's passages and lines: the whole, its paragraphs, its lines."""
-    whole = F.array(text)
-    parts = F.concat(whole, F.split(text, r"\n\s*\n")) if blocks else whole
-    parts = F.concat(parts, F.split(text, "\n"))
+    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: normalised(p) != ""), _hash))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, level, quote (number), original (turn of the linked message or null); one row per quoted passage."""
-    own = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(_keys(F.col("own_text"), True)).alias("key"))
+    own = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(_keys(F.col("own_text"))).alias("key"))
     originals = own.groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     quotes = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL AND size(quotes) > 0").select("conv_id", "turn", F.posexplode("quotes").alias("quote", "q"))
-    keyed = quotes.select("conv_id", "turn", "quote", "q.level", _hash(F.col("q.text")).alias("whole"), F.explode_outer(_keys(F.col("q.text"), False)).alias("key"))
+    keyed = quotes.select("conv_id", "turn", "quote", "q.level", _hash(F.col("q.text")).alias("whole"), F.explode_outer(_keys(F.col("q.text"))).alias("key"))
     # Only conversations with quotes send their originals on.
     found = keyed.join(originals, ["conv_id", "key"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     votes = found.groupBy("conv_id", "turn", "quote", "level", "original").agg(F.max((F.col("key") == F.col("whole")).cast("int")).alias("whole"), F.count("key").alias("lines"))

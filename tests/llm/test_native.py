@@ -197,3 +197,13 @@ def test_shared_folder_can_be_cleared(spark):
     assert df.count() == 3 and __import__("os").path.exists(path)
     clear_shared(spark)
     assert not __import__("os").path.exists(path)
+
+
+def test_chat_links_paragraphs_that_were_wrapped_anew(spark):
+    rows = [
+        (1, 0, "u", "The first paragraph holds some words.\n\nThe second one holds\na few more of them.\n\nThe third is not quoted."), (1, 1, "a", "Something else."),
+        (1, 2, "u", "> The first paragraph\n> holds some words.\n>\n> The second one\n> holds a few\n> more of them.\nI agree."),
+    ]
+    out = {r["turn"]: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (out[2]["n_quotes"], out[2]["n_linked"], out[2]["reply_to"]) == (1, 1, 0)
+    assert out[1]["reply_to"] == 0
