@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import exact_dedup, language, near_dup, packing, quality
+from strandline.llm.common import materialise
 from strandline.llm.near_dup import _small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,16 +41,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select("id.doc_id", "id.text", F.coalesce("id.lang", "lang_pred").alias("lang"), "id.source", "id.n_chars")
 
 
+def _with_row(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """Adds row, a number of each row in the order of doc_id: doc_id itself, unless some row lacks it or shares it with another."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    by = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
+    ordered = docs.withColumn("_digest", exact_dedup.sha256_digest(F.coalesce("text", F.lit("")))).orderBy(by, "_digest").drop("_digest")
+    return materialise(ordered.withColumn("row", F.monotonically_increasing_id()), "stage-rows")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup.exact_dedup(docs, keep="largest").where("NOT kept").select(F.col("id").alias("doc_id"))
-    return docs.join(_small(gone), "doc_id", "left_anti").select(COLUMNS)
+    """Of equal texts one row with the largest doc_id stays; one without an id only if none has one."""
+    docs = _with_row(docs, nulls_first=True)
+    gone = exact_dedup.exact_dedup(docs, id_col="row", keep="largest").where("NOT kept").select(F.col("id").alias("row"))
+    return docs.join(_small(gone), "row", "left_anti").select(COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (five words, similarity 0.8) the smallest doc_id stays."""
-    gone = near_dup.near_dup(docs, near_dup.NearDup(shingle=5, percent=80)).where("NOT kept").select(F.col("id").alias("doc_id"))
-    return docs.join(_small(gone), "doc_id", "left_anti").select(COLUMNS)
+    """Of each near-duplicate group (five words, similarity 0.8) one row with the smallest doc_id stays; one without an id only if none has one."""
+    docs = _with_row(docs, nulls_first=False)
+    gone = near_dup.near_dup(docs, near_dup.NearDup(shingle=5, percent=80), id_col="row").where("NOT kept").select(F.col("id").alias("row"))
+    return docs.join(_small(gone), "row", "left_anti").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

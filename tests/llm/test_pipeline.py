@@ -59,6 +59,22 @@ def test_stages_keep_columns(spark, tmp_path):
     assert "$$$" not in cleaned["text"] and cleaned["n_chars"] == len(cleaned["text"])
 
 
+def test_dedup_stages_judge_each_row(spark):
+    """Repeated and absent ids: a verdict holds for its own row, and of equal rows one stays."""
+    frame = lambda rows: spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), "").collect()), key=repr)
+    rows = [(5, "A"), (9, "A"), (5, "B"), (7, "C"), (7, "C"), (None, "A"), (None, "D"), (None, "E"), (None, "E"), (8, None), (8, "")]
+    expected = [(9, "A"), (5, "B"), (7, "C"), (None, "D"), (None, "E")]
+    got = left(stages.exact_stage, rows)
+    assert [r for r in got if r[1]] == sorted(expected, key=repr)
+    assert [r[0] for r in got if not r[1]] == [8]
+    rng = random.Random(5)
+    x, y, z = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(200)) for k in "xyz")
+    near = x.rsplit(" ", 1)[0] + " changed"
+    rows = [(3, x), (5, near), (5, y), (None, near + " again"), (None, z), (6, y)]
+    assert left(stages.near_stage, rows) == sorted([(3, x), (5, y), (None, z)], key=repr)
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalogue.QUERIES) == list(range(1, 11))
     assert len(corpus_pipeline.STAGES) in (4, 5)
