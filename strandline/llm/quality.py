@@ -68,7 +68,8 @@ class LineRules:
     capitals_letters: int = 12
     #: Most separators (a bar, bullet or angle between spaces) for each word.
     separators_per_word: float = 0.2
-    #: Words that a line without end punctuation has at least; shorter ones are headings or menu entries and pass.
+    #: Words from which on a line fails that holds no punctuation mark anywhere (commas, quotes and closing brackets count); shorter lines
+    #: are headings or menu entries and pass. A line that only lacks a mark at its end passes: lines of wrapped prose end anywhere.
     punctuation_words: int = 40
     #: Most of the word characters that a document may lose with its lines.
     lost: float = 0.5
