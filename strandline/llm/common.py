@@ -37,6 +37,17 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, order: Column, name: str, text_col: str = "text") -> DataFrame:
+    """df, written and read back, with distinct numbers that grow in the order.
+
+    Rows that are equal in it are spread by their text and then by their place,
+    so that no value of the order has to fit one task.
+    """
+    keyed = df.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("_place", F.monotonically_increasing_id())
+    ordered = keyed.orderBy(order, "_digest", "_place").drop("_digest", "_place")
+    return materialise(ordered.withColumn(name, F.monotonically_increasing_id()), "in-order")
+
+
 def held(*columns: Column) -> list[Column]:
     """The columns, such that a filter on them stays above the projection that makes them.
 

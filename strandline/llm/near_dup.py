@@ -22,15 +22,22 @@ components of the links.
    hash range at most the smaller count. Both bound the similarity from above.
    No bucket, partner or candidate is capped.
 
+Pairs of a bucket are dealt by blocks of its members and blocks of its centres, so
+a bucket with a third of all rows is spread over many tasks.
+
 Defined results: null and empty texts have empty sets and stay alone; rows
-without an id are in no group and not kept; repeated rows share one node; an empty table gives an empty result; further columns
-are not read.
+without an id are in no group and not kept; rows that share an id are documents of
+their own, each with its own set and group (where their texts are equal, of one
+group), and every input row gives one row; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernels as tk
-from strandline.llm.common import bounded_batches, materialise, table
+from strandline.llm.common import bounded_batches, in_order, materialise, table
 from strandline.llm.components import components
 
 #: Bytes of ids up to which a list of ids is broadcast; beyond it, it is joined by shuffle.
@@ -49,6 +56,12 @@ ID_BYTES = 48
 SLOTS = (1024, 16384)
 
 
+#: Members, and centres, of a block; the pairs of two blocks of a bucket are dealt together.
+BLOCK = 256
+#: Pairs of one document beyond which they are split, each part with its own copy of the document's set.
+SPLIT = 4096
+#: Parts of a bucket's rows where a join by bucket goes through a shuffle.
+SALT = 16
 #: Slices of the hash range; in each, two sets share at most the smaller of their counts.
 SLICES = 64
 
@@ -148,9 +161,21 @@ def _reach(p: NearDup, common: Column, union: Column) -> Column:
 
 
 def _in_several_groups(live: DataFrame) -> DataFrame:
-    """Rows (bucket, root, ...) of the buckets with more than one root."""
-    several = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    return live.join(several, "bucket", "left_semi")
+    """Rows (bucket, root, ...) of the buckets with more than one root, with size, the rows of the bucket."""
+    several = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
+    several = materialise(several, "near-several")
+    if several.count() * ID_BYTES <= BROADCAST_BYTES:
+        return live.join(F.broadcast(several), "bucket")
+    salted = live.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    return salted.join(several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["bucket", "salt"]).drop("salt")
+
+
+def _block(of: Column, blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed)), blocks).cast("int")
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
 
 
 def _sizes(full: DataFrame) -> DataFrame:
@@ -168,9 +193,14 @@ def _sizes(full: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, full: DataFrame, p: NearDup) -> DataFrame:
     """Those pairs (u, v) whose full sets reach the threshold."""
-    left = full.select(F.col("id").alias("u"), F.col("set").alias("a"))
+    # The pairs of a document with very many are split, and its set goes to each part.
+    parts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("u", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    parts = _small(materialise(parts, "near-parts"))
+    dealt = pairs.join(parts, "u", "left").select("u", "v", _block(F.col("v"), F.coalesce("parts", F.lit(1)), 5).alias("part"))
+    left = full.select(F.col("id").alias("u"), F.col("set").alias("a")).join(parts, "u", "left")
+    left = left.select("u", "a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     right = full.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    both = pairs.join(right, "v").join(left, "u")
+    both = dealt.join(right, "v").join(left, ["u", "part"])
     na, nb = F.size("a"), F.size("b")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(_reach(p, F.least(na, nb), F.greatest(na, nb))).where(_reach(p, common, na + nb - common)).select("u", "v")
@@ -181,19 +211,34 @@ def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = materialise(sign(rows, p), "near-signatures")
+    if not every.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # Rows share an id: they are numbered in its order, grouped by their numbers, and named by their ids again.
+        named = in_order(rows.where("id IS NOT NULL"), F.asc("id"), "node")
+        found = _groups(named.select(F.col("node").alias("id"), "text"), materialise(sign(named.select(F.col("node").alias("id"), "text"), p), "near-signatures"), p)
+        names = named.select(F.col("node").alias("component_id"), F.col("id").alias("component"))
+        found = found.join(named.select(F.col("node").alias("id"), F.col("id").alias("name")), "id").join(names, "component_id")
+        nameless = every.where("id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        found = found.select(F.col("name").alias("id"), "n_shingles", F.col("component").alias("component_id")).unionByName(nameless)
+    else:
+        found = _groups(rows, every, p)
+    return found.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _groups(rows: DataFrame, every: DataFrame, p: NearDup) -> DataFrame:
+    """id, n_shingles, component_id of rows (id, text) with the signatures `every`; ids that are not null are distinct."""
     signed = every.where("id IS NOT NULL")
 
     # Equal sets: one representative, the smallest id, stands for all of them.
     classes = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copied = materialise(classes.where("copies > 1").select("h1", "h2", "rep"), "near-copied")
-    copies = materialise(signed.select("id", "h1", "h2").join(_small(copied, 64), ["h1", "h2"]).where("id <> rep").select("id", "rep").distinct(), "near-copies")
+    copies = materialise(signed.select("id", "h1", "h2").join(_small(copied, 64), ["h1", "h2"]).where("id <> rep").select("id", "rep"), "near-copies")
 
     # Buckets of two members or more, each with its smallest id as the centre of a star.
     reps = signed.where("n > 0").join(_small(copies), "id", "left_anti").select("id", F.explode("bands").alias("bucket"))
     stars = reps.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = materialise(reps.join(stars, "bucket").distinct(), "near-buckets")
     candidates = materialise(members.select("id").distinct(), "near-candidates")
-    full = materialise(sets(rows.join(_small(candidates), "id", "left_semi"), p).dropDuplicates(["id"]), "near-sets")
+    full = materialise(sets(rows.join(_small(candidates), "id", "left_semi"), p), "near-sets")
 
     pairs = materialise(members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "near-pairs")
     roots = components(materialise(_confirmed(pairs, full, p), "near-links"))
@@ -201,29 +246,36 @@ def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", te
     while True:
         # Buckets whose members, less the centres so far, are in several groups.
         live = rest.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        live = materialise(_in_several_groups(live), "near-open")
+        live = materialise(_in_several_groups(live).drop("size"), "near-open")
         if live.isEmpty():
             break
         # What no other open set holds can't be shared, and bounds each set's similarity to any of them.
         ids = materialise(live.select("id").distinct(), "near-candidates")
         open_sets = full.join(_small(ids), "id", "left_semi")
-        bands = signed.select("id", "bands").join(_small(ids), "id", "left_semi").dropDuplicates(["id"])
+        bands = signed.select("id", "bands").join(_small(ids), "id", "left_semi")
         sizes = materialise(_sizes(open_sets).join(bands, "id"), "near-sizes")
-        live = _in_several_groups(live.join(_small(sizes.where(_reach(p, F.col("shared"), F.col("n")))), "id"))
-        live = materialise(live.join(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket"), "near-open")
+        live = materialise(_in_several_groups(live.join(_small(sizes.where(_reach(p, F.col("shared"), F.col("n"))).select("id")), "id")), "near-open")
         slots = SLOTS[min(done, len(SLOTS) - 1)]
-        # The least id of each slot is a centre, so map-side combine bounds what is kept; in small buckets all members are.
-        slot = F.when(F.col("size") <= slots, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(done)), F.lit(slots)))
-        centres = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "root", "n", "shared", "slices", "bands")).alias("c")).select("bucket", "c.*")
+        # In small buckets all members are centres. In others the least id of each slot is one, so map-side combine bounds what is kept.
+        slot = F.pmod(F.xxhash64("id", F.lit(done)), F.lit(slots))
+        dealt = live.where(F.col("size") > slots).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "root", "size")).alias("c"))
+        centres = materialise(live.where(F.col("size") <= slots).unionByName(dealt.select("bucket", "c.*")), "near-centres")
+        # Each member meets each block of centres, and each centre each block of members, once.
+        of_members, of_centres = _blocks(F.col("size")), _blocks(F.least(F.col("size"), F.lit(slots)))
+        every_block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        facts = F.broadcast(sizes) if sizes.count() * (ID_BYTES + 8 * SLICES + 8 * p.bands) <= BROADCAST_BYTES else sizes
+        m = live.select("*", _block(F.col("id"), of_members, 1).alias("mb"), every_block(of_centres).alias("cb")).join(facts, "id")
+        c = centres.select("*", _block(F.col("id"), of_centres, 2).alias("cb"), every_block(of_members).alias("mb")).join(facts, "id")
         a, b = {k: F.col(f"m.{k}") for k in ("id", "root", "n", "shared")}, {k: F.col(f"c.{k}") for k in ("id", "root", "n", "shared")}
         union = F.greatest(a["shared"], b["shared"]) + (a["n"] - a["shared"]) + (b["n"] - b["shared"])
         possible = _reach(p, F.least(a["shared"], b["shared"]), union)
         common = F.aggregate(F.zip_with("m.slices", "c.slices", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         by_slices = _reach(p, common, a["n"] + b["n"] - common)
-        once = F.when(F.col("size") <= slots, a["id"] > b["id"]).otherwise(a["id"] != b["id"])
+        once = F.when(F.col("m.size") <= slots, a["id"] > b["id"]).otherwise(a["id"] != b["id"])
         # A pair is dealt in the first of the buckets that it shares; there it stays until it is compared or in one group.
         here = F.array_intersect("m.bands", "c.bands")[0] == F.col("m.bucket")
-        met = live.alias("m").join(centres.alias("c"), (F.col("m.bucket") == F.col("c.bucket")) & once & (a["root"] != b["root"]) & possible & here & by_slices)
+        same = reduce(and_, [F.col(f"m.{k}") == F.col(f"c.{k}") for k in ("bucket", "mb", "cb")])
+        met = m.alias("m").join(c.alias("c"), same & once & (a["root"] != b["root"]) & possible & here & by_slices)
         pairs = materialise(met.select(F.least(a["id"], b["id"]).alias("u"), F.greatest(a["id"], b["id"]).alias("v")).distinct(), "near-pairs")
         links = materialise(_confirmed(pairs, open_sets, p), "near-links")
         if not links.isEmpty():
@@ -232,13 +284,12 @@ def near_dup(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", te
         large = live.where(F.col("size") > slots).select("bucket", "id")
         if large.isEmpty():
             break
-        rest = large.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        rest = large.join(_small(centres.where(F.col("size") > slots).select("bucket", "id")), ["bucket", "id"], "left_anti")
         done += 1
 
     roots = _small(roots.withColumnRenamed("node", "rep"))
     joined = every.select("id", "n").join(_small(copies), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(roots, "rep", "left")
-    root = F.coalesce("root", "rep")
-    return joined.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
+    return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

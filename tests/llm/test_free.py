@@ -96,16 +96,34 @@ def near_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("k,percent,slots", [(3, 85, None), (5, 80, None), (3, 85, (2, 3))])
-def test_near_dup_is_brute_force(spark, monkeypatch, k, percent, slots):
-    if slots:  # small numbers of centres, so that several rounds are needed
+@pytest.mark.parametrize("k,percent,slots,block", [(3, 85, None, None), (5, 80, None, 2), (3, 85, (2, 3), 2)])
+def test_near_dup_is_brute_force(spark, monkeypatch, k, percent, slots, block):
+    if slots:  # small numbers of centres, so that several rounds are needed; and nothing is broadcast
         monkeypatch.setattr(near_dup, "SLOTS", slots)
+        monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)
+    if block:  # many blocks of a bucket, and many parts of a document's pairs
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "SPLIT", block)
     texts = near_texts(k)
     rows = sorted(near_dup.near_dup(docs_of(spark, texts), near_dup.NearDup(shingle=k, percent=percent)).collect())
     assert [(r["n_shingles"], r["component_id"]) for r in rows] == brute_groups(texts, k, percent)
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in rows)
 
 
+def test_near_dup_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    x, y, z = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(100)) for k in "xyz")
+    near = lambda t: t.rsplit(" ", 1)[0] + f" {rng.randrange(10**6)}"
+    rows = [(5, x), (5, y), (3, near(y)), (5, near(x)), (5, x), (9, z), (9, None), (None, x), (None, z), (7, near(near(z)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dup.near_dup(df, near_dup.NearDup(3, 85)).collect()]
+    n = {t: len({tuple(t.split(" ")[i : i + 3]) for i in range(98)}) for _, t in rows if t}
+    component = {x: 5, y: 3, z: 7}
+    stem = lambda t: next(b for b in (x, y, z) if t[:200] == b[:200])
+    want = [(i, n.get(t, 0), None if i is None else component[stem(t)] if t else i) for i, t in rows]
+    assert sorted(map(repr, got)) == sorted(repr((*w, w[0] is not None and w[0] == w[2])) for w in want)
+
+
 def test_near_dup_hot_groups_and_empty(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
