@@ -7,8 +7,11 @@ accepts. Only rules whose keyword stands in the text are tried; a text without
 any keyword is not looked at further.
 
 Detections are intervals. One that lies within another's interval is
-suppressed (of equal intervals the rule with the better priority stays); of two
-that overlap otherwise, the better priority stays, then the earlier.
+suppressed (of equal intervals the rule with the better priority stays). The others
+are taken by priority, then by place, and each stays unless it overlaps one that
+stays already; so one beaten by a detection that is itself beaten may stay.
+
+The work on a text grows with its length and its detections, not with their square.
 
 Four base phrases are counted besides, at every place where their words stand
 consecutively; their labels are never suppressed.
@@ -21,6 +24,9 @@ an expression on one row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -29,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import held, table
+from strandline.llm.license_signatures import SIGNATURES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,109 +50,85 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: label, keyword, name as a regular expression over words, SPDX id as words (or none).
+#: Names of licenses: label, keyword, name as a regular expression over words.
 NAMES = (
-    ("gpl-1.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "gnu general public", r"gnu general public licen[sc]e", "gpl"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?", None),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?", None),
-    ("lgpl-2.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.0", "library general public", r"(?:gnu )?library general public licen[sc]e (?:version |v )?2(?: 0)?", None),
-    ("lgpl-2.1", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e", "lgpl"),
-    ("agpl-3.0", "affero general public", r"(?:gnu )?affero general public licen[sc]e(?: version 3(?: 0)?| v3)?", "agpl 3 0(?: only| or later)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: version 1 [0-9])?", "gfdl 1 [0-9]"),
-    ("apache-1.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 0", "apache 1 0"),
-    ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 1", "apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?", "apache 2 0"),
-    ("apache", "apache", r"apache (?:software )?licen[sc]e", "apache"),
-    ("mit", "mit", r"(?:the )?mit(?: x11)? licen[sc]e", "mit"),
-    ("mit", "expat", r"expat licen[sc]e", None),
-    ("mit-0", "mit", r"mit no attribution licen[sc]e", "mit 0"),
-    ("x11", "x11", r"x11 licen[sc]e", "x11"),
-    ("isc", "isc", r"isc licen[sc]e", "isc"),
-    ("bsd-2-clause", "bsd", r"(?:(?:simplified|freebsd) bsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified) bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[sc]e", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) licen[sc]e", "bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause) licen[sc]e", "0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", None),
-    ("mpl-1.0", "mozilla", r"mozilla public licen[sc]e (?:version |v )?1 0", "mpl 1 0"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e (?:version |v )?1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:version |v )?2(?: 0)?", "mpl 2 0"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e", None),
-    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?2(?: 0)?", "epl 2 0"),
-    ("edl-1.0", "eclipse", r"eclipse distribution licen[sc]e(?: (?:version |v )?1 0)?", None),
-    ("cddl-1.0", "common development", r"common development and distribution licen[sc]e(?: (?:version |v )?1 0)?", "cddl 1 0"),
-    ("cpl-1.0", "common public", r"common public licen[sc]e(?: (?:version |v )?1 0)?", "cpl 1 0"),
-    ("eupl", "european union public", r"european union public licen[sc]e(?: (?:version |v )?1 [0-9])?", "eupl 1 [0-9]"),
-    ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: (?:version |v )?1(?: 0)?)?", "artistic 1 0"),
-    ("artistic-2.0", "artistic", r"artistic licen[sc]e (?:version |v )?2(?: 0)?", "artistic 2 0"),
-    ("bsl-1.0", "boost", r"boost software licen[sc]e(?: (?:version |v )?1 0)?", "bsl 1 0"),
-    ("busl-1.1", "business source", r"business source licen[sc]e(?: (?:version |v )?1 1)?", "busl 1 1"),
-    ("sspl-1.0", "server side public", r"server side public licen[sc]e(?: (?:version |v )?1)?", "sspl 1 0"),
-    ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: (?:version |v )?2(?: 0)?)?", "elastic 2 0"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "zlib"),
-    ("libpng", "libpng", r"libpng licen[sc]e", "libpng 2 0"),
-    ("openssl", "openssl", r"openssl licen[sc]e", "openssl"),
-    ("psf-2.0", "python software", r"python software foundation licen[sc]e(?: (?:version |v )?2)?", "psf 2 0"),
-    ("php-3.0", "php", r"php licen[sc]e(?: (?:version |v )?3 01?)?", "php 3 01?"),
-    ("ruby", "ruby", r"ruby licen[sc]e", "ruby"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl(?: (?:version |v )?2)?", "wtfpl"),
-    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e", "ms pl"),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e", "ms rl"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: (?:version |v )?1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[sc]e(?: (?:version |v )?1 0)?", "odbl 1 0"),
-    ("odc-by-1.0", "data commons", r"open data commons attribution licen[sc]e", "odc by 1 0"),
-    ("pddl-1.0", "public domain dedication", r"open data commons public domain dedication and licen[sc]e", "pddl 1 0"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?", None),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] [0-9])?", "cc by nc nd [1-4] [0-9]"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] [0-9])?", "cc by nc sa [1-4] [0-9]"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] [0-9])?", "cc by nc [1-4] [0-9]"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [0-9])?", "cc by nd [1-4] [0-9]"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [0-9])?", "cc by sa [1-4] [0-9]"),
-    ("cc-by", "cc", r"cc by(?: [1-4] [0-9])?", "cc by [1-4] [0-9]"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative|ativ)e?s?(?: works)?(?: [1-4] [0-9])?", None),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?", None),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [0-9])?", None),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative|ativ)e?s?(?: works)?(?: [1-4] [0-9])?", None),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [0-9])?", None),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [0-9])?", None),
-    ("creative-commons", "creative commons", r"creative commons(?: licen[sc]e)?", None),
-    ("public-domain", "public domain", r"public domain", None),
-    ("open-government", "open government", r"open government licen[sc]e(?: v?[1-3](?: 0)?)?", None),
-    ("proprietary", "proprietary", r"proprietary licen[sc]e", None),
-)
-
-#: How a name can stand: priority, weight, template. {n} is the name, {s} the SPDX id.
-TEMPLATES = (
-    (1, 1.0, r"spdx licen[sc]e identifier {s}"),
-    (2, 0.95, r"(?:licen[sc]ed|released|distributed|published|provided|offered|(?:made )?available|covered|redistributed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{n}"),
-    (3, 0.9, r"(?:subject to|governed by|according to|in accordance with|pursuant to|in compliance with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{n}"),
-    (4, 0.85, r"(?:licen[sc]e|licensing|copying) (?:is |as |the )*{n}"),
-    (5, 0.8, r"{n}"),
-)
-
-#: Rules that are no name in a template: priority, weight, label, keyword, pattern.
-OTHERS = (
-    (2, 0.9, "mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    (2, 0.9, "isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose"),
-    (2, 0.9, "bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
-    (2, 0.9, "zlib", "provided as is", r"this software is provided as is without any express or implied warranty"),
-    (2, 0.9, "unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
-    (2, 0.9, "gpl", "free software", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
-    (2, 0.9, "public-domain", "public domain", r"(?:released|placed|dedicated|belongs?) (?:in|into|to) the public domain"),
-    (6, 0.6, "proprietary", "rights reserved", r"(?:all|some) rights reserved"),
-    (6, 0.6, "proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    (7, 0.4, "copyright", "copyright", r"copyright (?:c )?(?:1[89]|20)[0-9]{2}"),
-    (8, 0.3, "licensed", "licen", r"licen[sc]ed under"),
-    (8, 0.3, "licensed", "released under", r"released under"),
+    ("gpl-1.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?1(?: 0)?"),
+    ("gpl-2.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("gpl-3.0", "gnu general public", r"gnu general public licen[sc]e (?:version |v )?3(?: 0)?"),
+    ("gpl", "gnu general public", r"gnu general public licen[sc]e"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?"),
+    ("lgpl-2.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("lgpl-2.0", "library general public", r"(?:gnu )?library general public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("lgpl-2.1", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1"),
+    ("lgpl-3.0", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?"),
+    ("lgpl", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e"),
+    ("agpl-3.0", "affero general public", r"(?:gnu )?affero general public licen[sc]e(?: version 3(?: 0)?| v3)?"),
+    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: version 1 [0-9])?"),
+    ("apache-1.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 0"),
+    ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 1"),
+    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
+    ("mit", "mit", r"(?:the )?mit(?: x11)? licen[sc]e"),
+    ("mit", "expat", r"expat licen[sc]e"),
+    ("mit-0", "mit", r"mit no attribution licen[sc]e"),
+    ("x11", "x11", r"x11 licen[sc]e"),
+    ("isc", "isc", r"isc licen[sc]e"),
+    ("bsd-2-clause", "bsd", r"(?:(?:simplified|freebsd) bsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e"),
+    ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified) bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[sc]e"),
+    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) licen[sc]e"),
+    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause) licen[sc]e"),
+    ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
+    ("mpl-1.0", "mozilla", r"mozilla public licen[sc]e (?:version |v )?1 0"),
+    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e (?:version |v )?1 1"),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e"),
+    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?1(?: 0)?"),
+    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("edl-1.0", "eclipse", r"eclipse distribution licen[sc]e(?: (?:version |v )?1 0)?"),
+    ("cddl-1.0", "common development", r"common development and distribution licen[sc]e(?: (?:version |v )?1 0)?"),
+    ("cpl-1.0", "common public", r"common public licen[sc]e(?: (?:version |v )?1 0)?"),
+    ("eupl", "european union public", r"european union public licen[sc]e(?: (?:version |v )?1 [0-9])?"),
+    ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: (?:version |v )?1(?: 0)?)?"),
+    ("artistic-2.0", "artistic", r"artistic licen[sc]e (?:version |v )?2(?: 0)?"),
+    ("bsl-1.0", "boost", r"boost software licen[sc]e(?: (?:version |v )?1 0)?"),
+    ("busl-1.1", "business source", r"business source licen[sc]e(?: (?:version |v )?1 1)?"),
+    ("sspl-1.0", "server side public", r"server side public licen[sc]e(?: (?:version |v )?1)?"),
+    ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: (?:version |v )?2(?: 0)?)?"),
+    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
+    ("libpng", "libpng", r"libpng licen[sc]e"),
+    ("openssl", "openssl", r"openssl licen[sc]e"),
+    ("psf-2.0", "python software", r"python software foundation licen[sc]e(?: (?:version |v )?2)?"),
+    ("php-3.0", "php", r"php licen[sc]e(?: (?:version |v )?3 01?)?"),
+    ("ruby", "ruby", r"ruby licen[sc]e"),
+    ("unlicense", "unlicense", r"(?:the )?unlicense"),
+    ("wtfpl", "wtfpl", r"wtfpl(?: (?:version |v )?2)?"),
+    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e"),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e"),
+    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: (?:version |v )?1 1)?"),
+    ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[sc]e(?: (?:version |v )?1 0)?"),
+    ("odc-by-1.0", "data commons", r"open data commons attribution licen[sc]e"),
+    ("pddl-1.0", "public domain dedication", r"open data commons public domain dedication and licen[sc]e"),
+    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
+    ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?"),
+    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [0-9])?"),
+    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [0-9])?"),
+    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] [0-9])?"),
+    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] [0-9])?"),
+    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] [0-9])?"),
+    ("cc-by", "cc by", r"cc by(?: [1-4] [0-9])?"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative|ativ)e?s?(?: works)?(?: [1-4] [0-9])?"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [0-9])?"),
+    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative|ativ)e?s?(?: works)?(?: [1-4] [0-9])?"),
+    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [0-9])?"),
+    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [0-9])?"),
+    ("creative-commons", "creative commons", r"creative commons(?: licen[sc]e)?"),
+    ("public-domain", "public domain", r"public domain"),
+    ("open-government", "open government", r"open government licen[sc]e(?: v?[1-3](?: 0)?)?"),
+    ("proprietary", "proprietary", r"proprietary licen[sc]e"),
 )
+NAME_PRIORITY, NAME_WEIGHT = 5, 0.8
 
 
 @dataclass(frozen=True)
@@ -158,77 +141,122 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, names times templates and the others, in the order of their priority."""
-    out = [
-        Rule(priority, weight, label, "spdx" if "{s}" in template else keyword, template.format(n=f"(?:{name})", s=f"(?:{spdx})"))
-        for priority, weight, template in TEMPLATES
-        for label, keyword, name, spdx in NAMES
-        if spdx is not None or "{s}" not in template
-    ] + [Rule(*x) for x in OTHERS]
+    """All rules, signatures and names, in the order of their priority."""
+    out = [Rule(priority, weight, *x) for priority, weight, signatures in SIGNATURES for x in signatures]
+    out += [Rule(NAME_PRIORITY, NAME_WEIGHT, *x) for x in NAMES]
     return sorted(out, key=lambda r: r.priority)
 
 
+#: Parts of words; every rule's pattern has one of them in a word outside its choices, and the gate looks for them in the text as it is.
+STEMS = (
+    "licen", "software", "copyright", "permi", "public", "distribut", "spdx", "gpl", "gnu", "apache", "bsd", "creative", "commons", "proprietary", "reserved", "confidential", "copyleft", "mozilla",
+    "expat", "cc0", "wtfpl", "fuck", "reproduced", "publication", "redistribut", "openstreetmap", "waived", "affirmer", "evaluation", "personal", "academic", "research", "material",
+    "commercial", "government", "reverse", "document", "relinquishment", "contributor", "perl", "python", "program", "library", "remix", "functionality", "charityware", "png", "font", "skeleton", "jpeg", "postgresql", "restriction", "computer", "executable", "cecill", "eclipse", "openrail", "unauthorized", "scripts",
+)
+
+
+def certain(pattern: str) -> list[str]:
+    """Parts of words that stand in all that a pattern accepts: what is outside its groups, classes and options."""
+    while (shorter := re.sub(r"\((?:\?:)?[^()]*\)\??", "\n", pattern)) != pattern:
+        pattern = shorter
+    return re.split(r"[ \n]+", re.sub(r"\[[^\]]*\]\??|\.\{\d+,\d+\}|.[?*+]", "\n", pattern))
+
+
 def _literal(found: list[Rule]) -> Column:
-    """The rules as one constant array; a pattern stands between spaces."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.label).alias("label"),
-                F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= ){r.pattern}(?= )").alias("pattern"),
-            )
-            for i, r in enumerate(found)
-        ]
-    )
+    """The rules as one constant array, by keyword, which begins a word; a pattern stands between spaces."""
+    by_keyword: dict[str, list[dict]] = {}
+    for i, r in enumerate(found):
+        by_keyword.setdefault(f" {r.keyword}", []).append({"rule": i, "priority": r.priority, "weight": r.weight, "label": r.label, "pattern": f"(?<= )(?:{r.pattern})(?= )"})
+    # As JSON, which the optimiser reads once, the driver builds one expression in place of thousands.
+    groups = [{"keyword": k, "rules": v} for k, v in by_keyword.items()]
+    return F.from_json(F.lit(json.dumps(groups)), "array<struct<keyword: string, rules: array<struct<rule: int, priority: int, weight: double, label: string, pattern: string>>>>")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Elements of a block of the running values below.
+RUN = 64
 
 
-def _total_length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, x: a + F.char_length(x))
+def _before(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What combine makes of the values before each place: within blocks, and over the blocks before."""
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, zero, combine)
+
+    def placed(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        whole = F.transform(starts, lambda b: fold(F.slice(v, b * RUN + 1, F.lit(RUN))))
+        return _let(whole, lambda w: _let(F.transform(w, lambda _, b: fold(F.slice(w, F.lit(1), b))), lambda earlier: F.transform(
+            v, lambda _, i: combine(F.get(earlier, (i / RUN).cast("int")), fold(F.slice(v, (i / RUN).cast("int") * RUN + 1, i % RUN)))
+        )))
+
+    return F.when(F.size(values) > 0, _let(values, placed)).otherwise(F.slice(F.array(zero), F.lit(1), F.lit(0)))
 
 
 def _spans(canon: Column, rule: Column) -> Column:
-    """All matches of a rule as intervals of characters of the joined words."""
-    matches = F.regexp_extract_all(canon, rule["pattern"], F.lit(0))
-    between = F.split(canon, rule["pattern"], -1)
+    """All matches of a rule as intervals of characters of the joined words, in a time that grows with the text and the matches."""
 
-    def interval(match: Column, k: Column) -> Column:
-        start = _total_length(F.slice(between, F.lit(1), k + 1)) + _total_length(F.slice(matches, F.lit(1), k))
-        return F.struct(
-            start.alias("start"), (-(start + F.char_length(match))).alias("minus_end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"),
-            rule["label"].alias("label"), rule["weight"].alias("weight"),
-        )
+    def intervals(matches: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.char_length(g) + F.char_length(m))
+            before = _before(steps, lambda a, x: a + x, F.lit(0))
+            return _let(before, lambda b: F.transform(matches, lambda m, k: F.struct(
+                (F.get(b, k) + F.char_length(F.get(gaps, k))).alias("start"), (-(F.get(b, k) + F.char_length(F.get(gaps, k)) + F.char_length(m))).alias("minus_end"),
+                rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["weight"].alias("weight"),
+            )))
 
-    return F.transform(matches, interval)
+        # The text is split only where the rule has matches.
+        return F.when(F.size(matches) > 0, _let(F.split(canon, rule["pattern"], -1), placed))
+
+    return _let(F.regexp_extract_all(canon, rule["pattern"], F.lit(0)), intervals)
 
 
 def _kept(detections: Column) -> Column:
     """Suppress contained intervals, then settle other overlaps by priority; detections are sorted by start, longest first."""
-    blank = F.slice(detections, F.lit(1), F.lit(0))
-    outer = F.aggregate(
-        detections,
-        F.struct(F.lit(-1).alias("reach"), blank.alias("kept")),
-        lambda a, d: F.when(-d["minus_end"] <= a["reach"], a).otherwise(F.struct((-d["minus_end"]).alias("reach"), F.concat(a["kept"], F.array(d)).alias("kept"))),
-    )["kept"]
-
-    def settle(kept: Column, d: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        apart = F.size(kept).eqNullSafe(0) | (d["start"] >= -last["minus_end"])
-        swapped = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(d))
-        return F.when(apart, F.concat(kept, F.array(d))).when(d["priority"] < last["priority"], swapped).otherwise(kept)
-
-    return F.aggregate(outer, blank, settle)
-
-
-def _gate(text: Column) -> Column:
-    """Whether a text, in lower case, can have any keyword or base phrase; words of a keyword may stand apart in other ways than by spaces."""
-    firsts = sorted({k.split(" ")[0] for k in [r.keyword for r in rules()] + [p for p, _ in BASE]} - {"cc"})
-    # A word that begins with another first word, or is very common, is left to its phrase below.
-    phrases = {"free", "permission", "public", "common", "open", "data", "microsoft", "rights", "provided", "python", "server", "business", "european", "elastic", "boost", "mit", "isc", "ruby", "library", "released"}
-    plain = [w for w in firsts if w not in phrases]
-    loose = sorted({k for k in [r.keyword for r in rules()] + [p for p, _ in BASE] if k.split(" ")[0] in phrases | {"cc"}})
+
+    def outer(d: Column) -> Column:
+        reach = _before(F.transform(d, lambda x: -x["minus_end"]), lambda a, x: F.greatest(a, x), F.lit(-1))
+        return _let(reach, lambda r: F.filter(d, lambda x, i: -x["minus_end"] > F.get(r, i)))
+
+    def settled(chain: Column) -> Column:
+        # Best first; one stays if it overlaps none that stays already.
+        ranked = F.array_sort(F.transform(chain, lambda x: F.struct(x["priority"].alias("p"), x["start"].alias("s"), x.alias("x"))))
+        add = lambda kept, r: F.when(F.exists(kept, lambda k: (k["start"] < -r["x"]["minus_end"]) & (r["x"]["start"] < -k["minus_end"])), kept).otherwise(F.concat(kept, F.array(r["x"])))
+        return F.aggregate(ranked, F.slice(chain, F.lit(1), F.lit(0)), add)
+
+    def chains(o: Column) -> Column:
+        # Starts and ends both grow here, so overlaps are between neighbours, and chains of them are runs.
+        begins = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["start"] >= -F.get(o, i - 1)["minus_end"]))
+        runs = lambda b: F.transform(b, lambda s, j: F.slice(o, s + 1, F.coalesce(F.get(b, j + 1), F.size(o)) - s))
+        return F.sort_array(F.flatten(F.transform(_let(begins, runs), lambda c: F.when(F.size(c) == 1, c).otherwise(settled(c)))))
+
+    return _let(_let(detections, outer), chains)
+
+
+def gate_stems(found: list[Rule]) -> tuple[list[str], list[Rule]]:
+    """Stems of which a text has one if any of the rules matches it, and the rules that have none."""
+    of = {r: {s for s in STEMS if any(s in part for part in certain(r.pattern))} for r in found}
+    left, stems = {r for r in found if of[r]}, []
+    while left:  # the stems with most rules first, so that few are looked for
+        stems.append(max(STEMS, key=lambda s: sum(s in of[r] for r in left)))
+        left = {r for r in left if stems[-1] not in of[r]}
+    return stems, [r for r in found if not of[r]]
+
+
+def _gate(text: Column, found: list[Rule]) -> Column:
+    """Whether a text, in lower case, can have any rule or base phrase; words of a phrase may stand apart in other ways than by spaces."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    alternatives = [k.replace(" ", gap) + (gap + "by" if k == "cc" else "") for k in loose if k not in ("mit", "isc", "ruby", "elastic", "boost")]
-    alternatives += [f"(?:mit|isc|ruby|elastic|boost){gap}(?:x11|no|software|licen[sc]e|2)", f"identifier{gap}"]
-    return reduce(or_, (F.contains(text, F.lit(w)) for w in plain)) | text.rlike("|".join(alternatives))
+    stems, rest = gate_stems(found)
+    # Base phrases, and rules without a stem, by their own words.
+    phrases = sorted({p for p, _ in BASE if not any(s in w for s in stems for w in p.split(" "))} | {r.keyword for r in rest})
+    tests = [F.contains(text, F.lit(s)) for s in stems]
+    if phrases:
+        tests.append(text.rlike(f"(?:^|{gap})(?:{'|'.join(p.replace(' ', gap) for p in phrases)})(?:{gap}|$)"))
+    return reduce(or_, tests)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -247,10 +275,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found:
     detections: those that stay, with start and end as characters of the words
     joined by single spaces, with a space before the first.
     """
-    literal = _literal(rules() if found is None else found)
+    found = rules() if found is None else found
+    literal = _literal(found)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.lower(text).alias("lowered"))
-    rows = rows.select("id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), "text", _gate(F.col("lowered")).alias("gate"))
+    rows = rows.select("id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), "text", _gate(F.col("lowered"), found).alias("gate"))
     words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))
     rows = rows.select("id", "n_words", F.when(F.col("gate"), words).alias("words"))
     # Starts of the base phrases: the first word leads, the others are compared only behind it.
@@ -259,8 +288,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found:
         "id", "n_words", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("canon"), *[p.alias(f"base_{k}") for k, p in enumerate(places)]
     )
     canon = F.col("canon")
-    tried = F.filter(literal, lambda r: F.contains(canon, r["keyword"]))
-    hits = F.sort_array(F.flatten(F.transform(tried, lambda r: _spans(canon, r))))
+    tried = F.flatten(F.transform(F.filter(literal, lambda g: F.contains(canon, g["keyword"])), lambda g: g["rules"]))
+    hits = F.sort_array(F.flatten(F.array_compact(F.transform(tried, lambda r: _spans(canon, r)))))
     all_places = F.concat(*[F.col(f"base_{k}") for k in range(len(BASE))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{k}") > 0, label) for k, (_, label) in enumerate(BASE)]))
     rows = rows.select("id", "n_words", all_places.alias("places"), base_labels.alias("base"), F.when(canon.isNotNull(), hits).alias("hits"))

@@ -57,7 +57,7 @@ SLOTS = (1024, 16384)
 
 
 #: Members, and centres, of a block; the pairs of two blocks of a bucket are dealt together.
-BLOCK = 256
+BLOCK = 512
 #: Pairs of one document beyond which they are split, each part with its own copy of the document's set.
 SPLIT = 4096
 #: Parts of a bucket's rows where a join by bucket goes through a shuffle.
@@ -264,8 +264,8 @@ def _groups(rows: DataFrame, every: DataFrame, p: NearDup) -> DataFrame:
         of_members, of_centres = _blocks(F.col("size")), _blocks(F.least(F.col("size"), F.lit(slots)))
         every_block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         facts = F.broadcast(sizes) if sizes.count() * (ID_BYTES + 8 * SLICES + 8 * p.bands) <= BROADCAST_BYTES else sizes
-        m = live.select("*", _block(F.col("id"), of_members, 1).alias("mb"), every_block(of_centres).alias("cb")).join(facts, "id")
-        c = centres.select("*", _block(F.col("id"), of_centres, 2).alias("cb"), every_block(of_members).alias("mb")).join(facts, "id")
+        m = live.join(facts, "id").select("*", _block(F.col("id"), of_members, 1).alias("mb"), every_block(of_centres).alias("cb"))
+        c = centres.join(facts, "id").select("*", _block(F.col("id"), of_centres, 2).alias("cb"), every_block(of_members).alias("mb"))
         a, b = {k: F.col(f"m.{k}") for k in ("id", "root", "n", "shared")}, {k: F.col(f"c.{k}") for k in ("id", "root", "n", "shared")}
         union = F.greatest(a["shared"], b["shared"]) + (a["n"] - a["shared"]) + (b["n"] - b["shared"])
         possible = _reach(p, F.least(a["shared"], b["shared"]), union)

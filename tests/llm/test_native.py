@@ -85,18 +85,13 @@ def brute_scan(text):
                 places.append(k)
                 labels.add(label)
     canon = " " + " ".join(w) + " "
-    hits = sorted((m.start(), -m.end(), r.priority, i, r.label, r.weight) for i, r in enumerate(licenses.rules()) if r.keyword in canon for m in re.finditer(f"(?<= ){r.pattern}(?= )", canon))
-    outer, reach = [], -1
-    for h in hits:
-        if -h[1] > reach:
-            outer.append(h)
-            reach = -h[1]
+    # Every pattern, whatever its keyword; best first, unless inside another or overlapping one that stays.
+    hits = {(m.start(), m.end(), r.priority, i, r.label, r.weight) for i, r in enumerate(licenses.rules()) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", canon)}
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and ((a[0], a[1]) != (b[0], b[1]) or (b[2], b[3]) < (a[2], a[3]))
     kept = []
-    for h in outer:
-        if not kept or h[0] >= -kept[-1][1]:
+    for h in sorted((h for h in hits if not any(inside(h, g) for g in hits)), key=lambda h: (h[2], h[0])):
+        if all(h[1] <= k[0] or k[1] <= h[0] for k in kept):
             kept.append(h)
-        elif h[2] < kept[-1][2]:
-            kept[-1] = h
     score = max([h[5] for h in kept] + [0.8] * bool(places), default=0.0)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {h[4] for h in kept})), score
 
@@ -115,12 +110,17 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, texts)).where("labels <> ''").count() > 5
 
 
-def test_every_rule_passes_its_gate(spark):
-    """A keyword that stands in a text is never stopped by the prefilter."""
-    keys = sorted({r.keyword for r in licenses.rules()} | {p for p, _ in licenses.BASE})
-    examples = [k + (" by 4.0" if k == "cc" else " license identifier" if k == "spdx" else " license") for k in keys]
-    rows = docs_of(spark, examples).select(licenses._gate(F.lower("text")).alias("g")).collect()
-    assert all(r["g"] for r in rows)
+def test_long_license_texts(spark):
+    """A megabyte of license lines, with overlaps that chain, in a time that grows with its length."""
+    import time
+
+    lines = "Apache License 2.0, released under the MIT License. GNU General Public License version 2. Permission is hereby granted, free of charge, to any person obtaining a copy. "
+    scan = lambda n: licenses.scan(docs_of(spark, [lines * n]).coalesce(1)).select("n_base", "labels", F.size("detections").alias("n")).first()
+    small = scan(10)
+    began = time.time()
+    large = scan(6000)
+    assert time.time() - began < 60
+    assert large["n_base"] == 600 * small["n_base"] and large["n"] == 600 * small["n"] and large["labels"] == small["labels"]
 
 
 def words_of(parsed, rng):
@@ -130,6 +130,8 @@ def words_of(parsed, rng):
         match str(op):
             case "LITERAL":
                 out += chr(value)
+            case "ANY":
+                out += rng.choice("abc")
             case "IN":
                 kind, x = rng.choice(value)
                 out += chr(x if str(kind) == "LITERAL" else rng.randint(*x))
@@ -139,27 +141,28 @@ def words_of(parsed, rng):
                 out += words_of(value[-1], rng)
             case "MAX_REPEAT":
                 least, most, part = value
-                out += "".join(words_of(part, rng) for _ in range(rng.randint(least, min(most, 2))))
+                out += "".join(words_of(part, rng) for _ in range(rng.randint(least, max(least, min(most, 2)))))
             case _:
                 raise ValueError(op)
     return out
 
 
-def test_keywords_drop_nothing_that_a_pattern_accepts(spark, monkeypatch):
-    from dataclasses import replace
+def test_keywords_drop_nothing_that_a_pattern_accepts(spark):
     from re import _parser
 
     rng, rules = random.Random(2), licenses.rules()
+    assert len(rules) >= 300 and len({r.pattern for r in rules}) == len(rules)
     examples = [(r, words_of(_parser.parse(r.pattern), rng)) for r in rules for _ in range(12)]
-    assert [x for r, x in examples if r.keyword not in x] == []
+    assert [x for r, x in examples if not re.fullmatch(r.pattern, x) or f" {r.keyword}" not in f" {x}"] == []
+    stems, rest = licenses.gate_stems(rules)
+    assert all(any(s in w for s in stems for w in x.split(" ")) for r, x in examples if r not in rest) and len(rest) < 20
     texts = [x for _, x in examples]
-    assert docs_of(spark, texts).where(~licenses._gate(F.lower("text"))).count() == 0
-    some = ["GNU Library General Public License version 2", "Released under the GNU Library General Public Licence 2.0", "It was released under my own terms.", "RELEASED - under: x", *rng.sample(texts, 200)]
+    assert docs_of(spark, [t.upper().replace(" ", " (*)\n") for t in texts]).where(~licenses._gate(F.lower("text"), rules)).count() == 0
+    some = ["GNU Library General Public License version 2", "Released under the GNU Library General Public Licence 2.0", "It was released under my own terms.", "RELEASED - under: x", *rng.sample(texts, 300)]
     got = sorted(licenses.scan(docs_of(spark, some)).drop("detections").collect())
-    monkeypatch.setattr(licenses, "rules", lambda: [replace(r, keyword="") for r in rules])  # brute_scan tries every pattern
     for r, t in zip(got, some):
         assert tuple(r)[1:] == brute_scan(t), t
-    assert [r["labels"] for r in got[:4]] == ["lgpl-2.0", "lgpl-2.0", "licensed", "licensed"]
+    assert [r["labels"] for r in got[:4]] == ["lgpl-2.0", "lgpl-2.0,licensed", "licensed", "licensed"]
 
 
 def test_chat(spark):
