@@ -1,19 +1,23 @@
 """Deterministic sharded WARC writer, and a reader that checks every digest.
 
-Records are sorted by id into shards of about equal payload, cut at fixed places
-of the id range; each shard is a stream of files that roll once their compressed
-size reaches a bound. Headers, record ids and digests are derived from the rows
-alone, so the same table gives the same bytes whatever the cluster. A file is
-written under a temporary name and renamed when complete; the files of an
-archive are those in its manifest, which is written last. A task that is run
-again writes the same bytes to the same names.
+Records are sorted by id and digest into shards of about equal payload: the bytes of
+all records before each are summed exactly, and shards are cut where the sum
+passes a multiple of the shard's size, whatever the ids are. Each shard is a stream of
+files that roll once their compressed size reaches a bound. Headers, record ids and
+digests are derived from the rows alone, so the same table gives the same bytes
+whatever the cluster. A file is written under a temporary name and renamed when
+complete; the files of an archive are those in its manifest, which is written last,
+and temporary files that failed attempts left are removed then. A task that is run
+again writes the same bytes to the same names; a file that stands there already is
+replaced.
 
 Of records with equal payloads (of a least size), that with the smallest id is a
 response and the others are revisits that refer to it.
 
 Defined results: a null payload is empty; a null URL becomes urn:page:<id>; a row
 without an id is always a response and is read back without one; rows
-with the same id and payload are all responses, or all revisits of a smaller id;
+with the same id and payload are all responses, or all revisits of a smaller id, and
+stand in one shard; any 64-bit id is allowed;
 an empty table gives an archive without files; further columns are not read.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded_batches, materialise, shared_folder, table
@@ -42,12 +48,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Archive:
-    #: Payload bytes that a shard has about.
+    #: Payload bytes that a shard has about; more, where there would be more than most_shards.
     shard_bytes: int = 32 << 20
+    most_shards: int = 16384
     #: Compressed bytes after which a file is closed.
     file_bytes: int = 16 << 20
-    #: Cells of the id range between which shards are cut.
-    cells: int = 4096
     #: Payloads smaller than this are never revisits.
     least_bytes: int = 0
     level: int = 6
@@ -116,7 +121,10 @@ class _Files:
     def close(self) -> Iterator[tuple]:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.path}/{self.name}")
+            final = f"{self.path}/{self.name}"
+            if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
+                self.fs.delete_file(final)
+            self.fs.move(self.temp, final)
             yield self.shard, self.roll, self.name, self.n, self.size
             self.roll, self.out = self.roll + 1, None
 
@@ -124,22 +132,40 @@ class _Files:
 _MANIFEST = "shard long, roll long, file string, records long, bytes long"
 
 
-def _shard(page_id: Column, sized: DataFrame, a: Archive) -> tuple[Column, int]:
-    """A row's shard from its id, and the number of shards. Cells of the id range are summed by the cluster; at most `cells` sums come here."""
-    low, high = sized.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return F.lit(0).cast("long"), 1
-    width = (high - low) // a.cells + 1
-    cell = F.floor((page_id - F.lit(low)) / F.lit(width))
-    sums = dict(sized.groupBy(cell.alias("cell")).agg(F.sum("n")).collect())
-    shard_of, shard, held = [], 0, 0
-    for c in range(a.cells):
-        n = sums.get(c, 0)
-        if held and held + n > a.shard_bytes:
-            shard, held = shard + 1, 0
-        shard_of.append(shard)
-        held += n
-    return F.element_at(F.array(*[F.lit(s).cast("long") for s in shard_of]), (cell + 1).cast("int")), shard + 1
+def _key(page_id: Column, digest: Column) -> Column:
+    """Text that sorts as id and digest do; rows without an id come first."""
+    place = F.lpad((page_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(place, F.lit("")), F.substring(F.hex(digest), 1, 16))
+
+
+def first_keys(sized: DataFrame, a: Archive) -> list[str]:
+    """The least key of each shard but the first, from columns key and n: at most most_shards of them reach the driver."""
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    width = max(1, a.shard_bytes, -(-total // a.most_shards))
+    sums = sized.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").withColumn("part", F.spark_partition_id())
+    sums = materialise(sums, "warc-keys")
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = sums.withColumn("inside", inside).join(F.broadcast(parts.select("part", earlier.alias("earlier"))), "part")
+    firsts = before.groupBy(F.floor((F.col("earlier") + F.col("inside")) / width).alias("shard")).agg(F.min("key").alias("key"))
+    return sorted(r["key"] for r in firsts.collect())[1:]
+
+
+def _shard(key: Column, firsts: list[str]) -> Column:
+    """Number of the shard that a key stands in, by binary search."""
+    if not firsts:
+        return F.lit(0)
+    array = F.from_json(F.lit(json.dumps(firsts)), "array<string>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(firsts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.coalesce(F.get(array, n + step - 1) <= key, F.lit(False)), n + step).otherwise(n))
+
+
+def _remove_temporary(spark: SparkSession, root: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, ".*.tmp")) or []:
+        fs.delete(found.getPath(), False)
 
 
 def write(pages: DataFrame, root: str, a: Archive = Archive(), id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -157,12 +183,13 @@ def write(pages: DataFrame, root: str, a: Archive = Archive(), id_col: str = "pa
     revisits = revisits.where("id <> refers_to").select("id", "digest", "refers_to", "refers_url").distinct()
 
     # A revisit's note travels just before its row, so payloads are shuffled once.
-    shard, n_shards = _shard(F.col("id"), sized, a)
+    firsts = first_keys(sized.select(_key(F.col("id"), F.col("digest")).alias("key"), "n"), a)
     none, blank = F.lit(None).cast("long"), F.lit(None).cast("string")
     digest = F.unhex(F.sha2("payload", 256))
     both = revisits.select("id", "digest", F.lit(0).alias("kind"), blank.alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to", "refers_url")
     both = both.unionByName(rows.select("id", digest.alias("digest"), F.lit(1).alias("kind"), "url", "payload", none.alias("refers_to"), blank.alias("refers_url")))
-    both = both.select(shard.alias("shard"), "*").repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    both = both.select(_shard(_key(F.col("id"), F.col("digest")), firsts).cast("long").alias("shard"), "*")
+    both = both.repartitionById(len(firsts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, note = None, None
@@ -185,6 +212,7 @@ def write(pages: DataFrame, root: str, a: Archive = Archive(), id_col: str = "pa
 
     manifest = both.mapInArrow(run, _MANIFEST)
     manifest.write.parquet(f"{root}/manifest")
+    _remove_temporary(spark, root)
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
 
 

@@ -206,6 +206,27 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     assert warc.read(spark, root, warc.write(df.limit(0), root)).count() == 0
 
 
+def test_warc_shards_by_bytes_whatever_the_ids(spark, tmp_path):
+    ids = [-(2**63), 2**63 - 1, 2**62, *range(-1000, 1000), *[7] * 30, None, None]
+    rows = [(i, f"http://h/{k}", f"<p>{k}</p>" * 50, 1) for k, i in enumerate(ids)] + [(7, "http://h/0", "<p>0</p>" * 50, 1)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, shard int")
+    a, found = warc.Archive(shard_bytes=50_000, file_bytes=1 << 20), []
+    for parts in (5, 2):
+        root = f"{tmp_path}/{parts}"
+        (tmp_path / str(parts)).mkdir()
+        (tmp_path / str(parts) / ".pages-00000001-00000.warc.gz.9.dead.tmp").write_bytes(b"x")
+        (tmp_path / str(parts) / "pages-00000001-00000.warc.gz").write_bytes(b"an earlier attempt's")
+        manifest = warc.write(df.repartition(parts), f"file://{root}", a)
+        got = warc.read(spark, f"file://{root}", manifest, with_payload=False).collect()
+        assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+        sizes = [r["records"] for r in manifest.orderBy("shard").collect()]
+        total = sum(len(r[2]) for r in rows)
+        assert total // 50_000 <= len(sizes) <= total // 50_000 + 2 and max(sizes) < 200
+        assert not list((tmp_path / str(parts)).glob(".*.tmp"))
+        found.append({f.name: f.read_bytes() for f in (tmp_path / str(parts)).glob("*.warc.gz")})
+    assert found[0] == found[1]
+
+
 def test_warc_reader_rejects_changed_bytes(spark, tmp_path):
     import gzip
 
@@ -340,7 +361,7 @@ def test_rows_without_an_id(spark):
     assert quality.judge(df).count() == licenses.scan(df).count() == pieces.encode(df, pieces.PieceTable.load()).count() == 4
     assert packing.pack(df, packing.tokenizer_text()).select("start").count() >= 4
     assert language.predict(df, language.learn(df.withColumnRenamed("doc_id", "id"))).count() == 4
-    assert stages.exact_stage(spark, df, "").count() == 4
+    assert stages.exact_stage(spark, df, "").count() == 3  # of the equal texts the row with an id stays
     pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
     assert urls.judge(pages).count() == 4
     from strandline.llm.common import shared_folder
