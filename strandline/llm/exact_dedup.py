@@ -2,9 +2,12 @@
 
 Every input split is a memtable: its rows are reduced to (digest, id), sorted
 by digest and flushed as one run, a Parquet file with a bloom filter on the
-digest. Compaction merges runs into one sorted level that has, for each digest,
-the identifier that stays and the number of rows. Digests with more than one
-row are hits; their bytes are compared before any row is given up.
+digest. Compaction merges the runs flushed since the last one into a sorted level
+that has, for each digest, the identifier that stays and the number of rows. The
+level has a blocked bloom filter of its own, a table of words: new digests probe it,
+those that it rules out are appended without a look at the level, and the
+few others are looked up. Digests with more than one row are hits; their bytes are
+compared before any row is given up.
 
 Defined results: a null text equals the empty text; equal texts form one group
 whatever their other columns hold; repeated rows (same id and text) count as
@@ -20,6 +23,7 @@ comparison is min(text) = max(text) per digest, which combines map-side too.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +32,32 @@ from strandline.llm.common import shared_folder, table
 
 #: Bytes of digests up to which the hits are broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Bytes that a digest with its id and count takes in a broadcast relation.
-HIT_BYTES = 120
+#: Bytes that a digest with its id and count takes in a broadcast relation, and a word of a filter.
+HIT_BYTES, WORD_BYTES = 120, 48
+#: Digests for each 64-bit word of a filter, and the bits that each sets.
+PER_WORD, BITS = 5, 3
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted, fit the bound."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+
+
+def _word(digest: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(words))
+
+
+def _mask(digest: Column) -> Column:
+    """The bits that a digest sets in its word."""
+    h = F.xxhash64(digest, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * i), F.lit(64)).cast("int")) for i in range(BITS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 class DigestIndex:
     """Runs of (digest, id) below one folder, and the level they are compacted into.
 
@@ -48,11 +70,14 @@ class DigestIndex:
             raise ValueError(f"keep is 'smallest' or 'largest', not {keep!r}")
         self.spark, self.root, self.digest = spark, root, digest
         self.pick = F.min if keep == "smallest" else F.max
-        self.n_batches = 0
+        self.n_batches = self.n_merged = 0
         self.level: str | None = None
+        self.words = 0
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Flush each split of docs as a sorted run with a filter; no row is shuffled."""
+        if self.level is not None and self.n_merged == self.n_batches:
+            self.build_filter()  # the batch will be merged with what is there
         path = f"{self.root}/runs/batch={self.n_batches}"
         rows = docs.select(self.digest(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(id_col).cast("long").alias("id"))
         (
@@ -71,14 +96,47 @@ class DigestIndex:
         """All flushed rows, one for each row of the input."""
         return self._read(f"{self.root}/runs").select("digest", "id")
 
+    def fresh(self) -> DataFrame:
+        """Digests of the runs that are not yet in the level: digest, keep_id, n."""
+        paths = [f"{self.root}/runs/batch={k}" for k in range(self.n_merged, self.n_batches)]
+        rows = self.spark.read.schema("digest binary, id long").parquet(*paths)
+        return rows.groupBy("digest").agg(self.pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+
+    def probe(self, digests: DataFrame) -> DataFrame:
+        """Those rows whose digest the level may hold, by its filter; the level itself is not read."""
+        words = self.spark.read.schema("word long, bits long").parquet(f"{self.level}-filter")
+        placed = digests.withColumn("word", _word(F.col("digest"), self.words)).join(_small(words, WORD_BYTES), "word")
+        mask = _mask(F.col("digest"))
+        return placed.where(F.col("bits").bitwiseAND(mask) == mask).drop("word", "bits")
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(path)
+
     def compact(self) -> DataFrame:
-        """Merge all runs into one level, sorted by digest: digest, keep_id, n."""
-        merged = self.runs().groupBy("digest").agg(self.pick("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        """Merge the runs since the last compaction into the level, sorted by digest: digest, keep_id, n."""
+        merged = self.fresh()
+        if self.level is not None:
+            fresh = self._write(merged, f"{self.root}/fresh-{self.n_batches}")
+            suspects = self._write(self.probe(fresh), f"{self.root}/suspects-{self.n_batches}")
+            old = self.index()
+            both = old.select("digest", F.col("keep_id").alias("_k"), F.col("n").alias("_n")).join(_small(suspects, HIT_BYTES), "digest")
+            pick = F.least if self.pick is F.min else F.greatest
+            again = self._write(both.select("digest", pick("_k", "keep_id").alias("keep_id"), (F.col("_n") + F.col("n")).alias("n")), f"{self.root}/again-{self.n_batches}")
+            known = _small(again.select("digest"), HIT_BYTES)
+            merged = old.join(known, "digest", "left_anti").unionByName(fresh.join(known, "digest", "left_anti")).unionByName(again)
         path = f"{self.root}/level-{self.n_batches}"
-        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
-        self.level = path
+        self._write(merged, path)
+        self.level, self.n_merged = path, self.n_batches
         return self.index()
 
+    def build_filter(self) -> None:
+        """Write the filter of the level, which the next compaction probes."""
+        index = self.index()
+        self.words = max(1, -(-index.count() // PER_WORD))
+        words = index.groupBy(_word(F.col("digest"), self.words).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
+        words.write.parquet(f"{self.level}-filter")
+
     def index(self) -> DataFrame:
         if self.level is None:
             raise ValueError("compact() comes first")
@@ -86,8 +144,7 @@ class DigestIndex:
 
     def hits(self) -> DataFrame:
         """The index rows with more than one input row, broadcast if they are few."""
-        hits = self.index().where("n > 1")
-        return F.broadcast(hits) if hits.count() * HIT_BYTES <= BROADCAST_BYTES else hits
+        return _small(self.index().where("n > 1"), HIT_BYTES)
 
     def verify(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
         """Compare the bytes of all hits. None if every digest stands for one text.
