@@ -45,6 +45,27 @@ def test_exact_dedup_repeated_rows_and_batches(spark, tmp_path):
     assert {(r["keep_id"], r["n"]) for r in index.index().collect()} == {(3, 3), (8, 1), (9, 1)}
 
 
+def test_exact_dedup_merges_level_and_new_runs_only(spark, tmp_path):
+    rng = random.Random(3)
+    for keep, pick in (("smallest", min), ("largest", max)):
+        root = f"file://{tmp_path}/{keep}"
+        index, seen = exact_dedup.DigestIndex(spark, root, keep), {}
+        for k in range(3):
+            ids = list(range(1000 * k, 1000 * k + 600))
+            texts = [f"{k} {i}" if rng.random() < 0.9 else f"copy {rng.randrange(50)}" for i in ids]
+            for i, t in zip(ids, texts):
+                seen.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+            index.flush(docs_of(spark, texts, ids))
+            got = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.compact().collect()}
+            assert got == {d: (pick(x), len(x)) for d, x in seen.items()}
+        # A compaction reads the new runs; of them the filter lets few pass that the level lacks; no run is read again.
+        n = lambda name: spark.read.parquet(f"{root}/{name}").count()
+        again, suspects, fresh = n("again-3"), n("suspects-3"), n("fresh-3")
+        assert again <= suspects < again + 0.1 * fresh and fresh <= 600
+        index.flush(docs_of(spark, ["copy 1", "new"], [-5, 9999]))
+        assert {p.split("/runs/")[1].split("/")[0] for p in index.fresh().inputFiles()} == {"batch=3"}
+
+
 def base_figures(s):
     w = re.findall(r"[^\x20\x09-\x0D]+", s)
     n = Counter(zip(w, w[1:], w[2:]))
@@ -188,8 +209,96 @@ def test_chat_runs_across_blocks(spark):
     df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.when(F.col("id") == n - 2, "> first\nback").when(F.col("id") == 0, "first").otherwise(F.concat(F.lit("m"), "id")).alias("text"))
     out = {r["turn"]: r for r in chat.reply_order(df).collect()}
     assert out[chat.BLOCK]["reply_to"] == chat.BLOCK - 1 and out[n - 2]["reply_to"] == 0 and out[n - 1]["reply_to"] == n - 2
-    order = sorted(out, key=lambda t: out[t]["reply_path"])
-    assert order == list(range(n))
+    assert [out[t]["reply_place"] for t in range(n)] == list(range(n))
+
+
+def brute_threads(messages):
+    """Quotes, links and reply order of one conversation's messages (turn -> text), line by line."""
+    norm = lambda t: re.sub(r"[\s\xa0>]+", " ", t.lower(), flags=re.A).strip(" ")
+    keys = lambda t: {norm(p) for p in [t, *re.split(r"\n\s*\n", t, flags=re.A), *t.split("\n")]} - {""}
+    own, quotes = {}, {}
+    for turn, text in messages.items():
+        passages = []
+        for line in (text or "").split("\n"):
+            m = re.match(r"\s*((?:>\s?)+)", line, re.A)
+            level, body = (m[1].count(">"), line[m.end() :]) if m else (0, line)
+            if passages and passages[-1][0] == level:
+                passages[-1][1].append(body)
+            else:
+                passages.append((level, [body]))
+        quoting = any(lv for lv, _ in passages)
+        mine = [x for lv, p in passages if not lv for x in p if not (quoting and re.match(r"\s*on .{1,200} wrote\s*:\s*$", x, re.I | re.A))]
+        own[turn] = "\n".join(mine).strip("\n \t\r") if quoting else text or ""
+        quotes[turn] = [(lv, "\n".join(p)) for lv, p in passages if lv]
+    first = {}
+    for turn in sorted(own):
+        for k in keys(own[turn]):
+            first.setdefault(k, turn)
+    linked, figures = {}, {}
+    for turn, qs in quotes.items():
+        found = []
+        for lv, q in qs:
+            votes = {}
+            for k in keys(q):
+                o = first.get(k)
+                o = o if o is not None and o < turn else None
+                w, n = votes.get(o, (False, 0))
+                votes[o] = (w or k == norm(q), n + 1)
+            best = max(votes, key=lambda o: (o is not None, *votes[o], o if o is not None else 0), default=None)
+            found.append((lv, best))
+        outer = [o for lv, o in found if lv == 1 and o is not None]
+        anywhere = [o for _, o in found if o is not None]
+        linked[turn] = max(outer) if outer else max(anywhere) if anywhere else None
+        figures[turn] = (len(qs), len(anywhere))
+    turns = sorted(messages)
+    reply_to = {t: linked[t] if linked[t] is not None else (turns[i - 1] if i else None) for i, t in enumerate(turns)}
+    after = {t: turns[i + 1] for i, t in enumerate(turns[:-1]) if reply_to[turns[i + 1]] == t}
+    order = []
+
+    def walk(t):
+        run = [t]
+        while run[-1] in after:
+            run.append(after[run[-1]])
+        order.extend(run)
+        for m in reversed(run):
+            for child in turns:
+                if reply_to[child] == m and after.get(m) != child:
+                    walk(child)
+
+    if turns:
+        walk(turns[0])
+    return own, figures, reply_to, {t: i for i, t in enumerate(order)}
+
+
+def test_chat_is_brute_force(spark):
+    rng, rows, threads = random.Random(21), [], {}
+    for conv in range(40):
+        base = rng.choice([0, -50, 10**13, -(10**15)])
+        turns = sorted(rng.sample(range(60), rng.randrange(1, 30)))
+        messages = {}
+        for t in turns:
+            lines = [f"{rng.choice('abcdef')} line {rng.randrange(9)}" for _ in range(rng.randrange(1, 4))]
+            if messages and rng.random() < 0.5:  # quote some earlier message, at times with its quotes
+                old = messages[rng.choice(list(messages))] or ""
+                part = old.split("\n")[: rng.randrange(1, 5)]
+                lines = (["On Monday X wrote:"] if rng.random() < 0.3 else []) + [rng.choice(["> ", ">"]) + x for x in part] + ([""] if rng.random() < 0.5 else []) + lines
+            messages[base + t] = None if rng.random() < 0.03 else "\n".join(lines)
+        threads[conv] = brute_threads(messages)
+        rows += [(conv, t, "u", x, 0) for t, x in messages.items()]
+    deep = {t: f"message {t}" if not t else f"> message {t - 2 if t > 1 else 0}\nmessage {t}" for t in range(60)}  # each but the first answers the one before the last
+    threads[99] = brute_threads(deep)
+    rows += [(99, t, "u", x, 0) for t, x in deep.items()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, reply_place int")
+    for r in chat.reply_order(df).collect():
+        own, figures, reply_to, place = threads[r["conv_id"]]
+        t = r["turn"]
+        assert (r["own_text"], r["n_quotes"], r["n_linked"], r["reply_to"], r["reply_place"]) == (own[t], *figures[t], reply_to[t], place[t]), (r["conv_id"], t)
+
+
+def test_chat_long_texts_and_quote_levels(spark):
+    rows = [(1, 0, "u", "word " * 200_000), (1, 1, "u", ">" * 20_000 + " deep\n" + "> " + "word " * 200_000 + "\nyes"), (1, 2, "u", "x\n" * 20_000)]
+    out = {r["turn"]: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (out[1]["n_quotes"], out[1]["n_linked"], out[1]["max_level"], out[1]["reply_to"], out[1]["own_text"]) == (2, 1, 20_000, 0, "yes")
 
 
 def test_shared_folder_can_be_cleared(spark):
