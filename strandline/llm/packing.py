@@ -3,18 +3,19 @@ r"""Packing documents into windows of tokens by order-preserving dynamic program
 The documents of an input split form one stream of tokens. Cuts may fall at ends
 of documents (free), at ends of sentences (a small penalty) and, where a text
 has no such ends, at fixed distances (a larger penalty). The cost of a window
-is its padding plus the penalty of the cut that ends it, and the cheapest cuts
-are found exactly: with f(j) the least cost up to cut j at stream position x(j),
+is a fixed cost, so that short ones are not free, its padding, and the penalty of the
+cut that ends it, and the cheapest cuts are found exactly: with f(j) the least cost
+up to cut j at stream position x(j),
 
-    f(j) = penalty(j) + min over i with x(j) - x(i) <= window of f(i) + padding(x(j) - x(i))
+    f(j) = fixed + penalty(j) + min over i with x(j) - x(i) <= window of f(i) + padding(x(j) - x(i))
 
 As padding is window - length, the minimum is over f(i) + x(i), kept in a
 monotone queue, so each cut enters and leaves it once. Windows whose length is
 a power of two need no padding and are tried besides.
 
 A split is packed in blocks; the last window of a block is given up again and
-starts the next block. So memory is bounded by a block and one document, and
-no row is shuffled.
+starts the next block. So memory is bounded by a block and one document (its ids,
+4 bytes each, and its cuts, some 100 bytes for each sentence), and no row is shuffled.
 
 Defined results: a null text is empty; an empty text has the end id alone; ties
 between cuts go to the earlier start; repeated rows are packed like any others;
@@ -50,6 +51,8 @@ class Packing:
     end_id: int = 1
     #: Penalty, in tokens, of a cut of each kind.
     penalty: tuple[int, int, int] = (0, 8, 48)
+    #: Cost, in tokens, of each window.
+    window_cost: int = 64
     #: Tokens without an end of document or sentence after which a cut is offered anyway.
     stride: int = 128
     #: Windows of a block.
@@ -270,7 +273,7 @@ class Packer:
             yield from self._flush(last=True)
 
     def _flush(self, last: bool) -> Iterator[tuple]:
-        cuts = best_cuts(self.place, [self.p.penalty[k] for k in self.kind], self.p.window)
+        cuts = best_cuts(self.place, [self.p.window_cost + self.p.penalty[k] for k in self.kind], self.p.window)
         if not last:
             cuts = cuts[:-1]
         for j in cuts:
