@@ -3,9 +3,13 @@
 A rule has a host and a path prefix; it fits its host and all subdomains, and
 of the rules that fit, the longest wins. URLs without a rule are judged by
 boosted trees over length, depth, digit ratio, entropy, parameter counts and
-statistics of suffixes and path heads. The trees learn from labelled URLs; by
-default these are the verdicts of the rules and of a list of marked words in
-hosts, while URLs without either count as allowed.
+statistics of suffixes and path heads. The trees learn from labelled URLs. Where
+none are given, weak labels stand in: the verdicts of the rules, and for other URLs
+whether a seed word stands in the host. The trees see no word, only lexical
+features, so what they learn from the seeds reaches hosts that have none.
+
+Statistics of a suffix or head leave out the URL's own fifth of the labels (a hash
+of the URL), so a URL's label is in no feature that it is learned or judged by.
 
 Defined results: a null URL, or one without ://, has an empty host and path and
 is judged by the trees like any other; an empty table gives an empty result; with
@@ -13,7 +17,8 @@ labels of one kind only, that kind is the verdict; ties between rules of equal
 length go to the one that sorts first; repeated rows give repeated results.
 
 The statistics of suffixes are counted over all rows by the cluster. The trees are
-fitted on the driver on at most `sample_rows` labelled rows in expectation.
+fitted on the driver on at most `sample_rows` labelled rows in expectation, drawn by
+id and URL.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Words in a host that label a URL as blocked.
+#: Seeds: words in a host that label a URL as blocked, where no labels are given.
 MARKED = ("spam", "casino", "porn", "xxx", "viagra", "poker", "escort", "torrent", "warez", "phish", "malware")
 
 
@@ -57,6 +62,8 @@ class Boosting:
     threshold: float = 0.5
     #: Weight, in rows, of the overall share in a suffix's share.
     prior_rows: float = 20.0
+    #: Parts of the labels, of which a URL's own is left out of its statistics.
+    folds: int = 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -193,7 +200,7 @@ def judge(
         head = F.concat_ws("/", F.substring_index("host", ".", -1), F.element_at(F.split("path", "/", 3), F.least(F.lit(2), F.size(F.split("path", "/", 3)))))
         has_mark = reduce(lambda a, b: a | b, [F.contains("host", F.lit(m)) for m in marked]) if marked else F.lit(False)
         df = df.select("*", rule.alias("rule"), verdict.alias("by_rule"), suffix.alias("suffix"), head.alias("head"))
-        return df.select("*", F.coalesce(F.col("by_rule") == "block", has_mark).alias("own_label"), F.length("host").alias("host_n"), F.length("path").alias("path_n"))
+        return df.select("*", F.coalesce(F.col("by_rule") == "block", has_mark).alias("own_label"), F.length("host").alias("host_n"), F.length("path").alias("path_n"), F.pmod(F.xxhash64("url", F.lit(4)), F.lit(p.folds)).cast("int").alias("fold"))
 
     rows = prepared(pages, F.col(id_col).alias("id"))
     if labels is None:
@@ -204,17 +211,21 @@ def judge(
     total = learned.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("blocked").cast("double")), F.lit(0.0)).alias("share")).first()
 
     def statistics(key: str) -> DataFrame:
-        blocked = F.sum(F.col("blocked").cast("double"))
-        n = F.count(F.lit(1))
-        return learned.groupBy(key).agg(((blocked + p.prior_rows * total["share"]) / (n + p.prior_rows)).alias(f"{key}_share"), n.alias(f"{key}_rows"))
+        """For each value of key and each fold: share of blocked labels and their number, without the fold's own."""
+        counts = learned.groupBy(key, "fold").agg(F.sum(F.col("blocked").cast("double")).alias("b"), F.count(F.lit(1)).alias("n"))
+        totals = counts.groupBy(key).agg(F.sum("b").alias("tb"), F.sum("n").alias("tn")).withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(p.folds)])))
+        own = counts.select(F.col(key).alias("_key"), F.col("fold").alias("_fold"), "b", "n")
+        rest = totals.join(own, (F.col(key) == F.col("_key")) & (F.col("fold") == F.col("_fold")), "left")
+        blocked, n = F.col("tb") - F.coalesce("b", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))
+        return rest.select(key, "fold", ((blocked + p.prior_rows * total["share"]) / (n + p.prior_rows)).alias(f"{key}_share"), n.alias(f"{key}_rows"))
 
     # Left joins on the small side's size as Spark finds it at run time; hot keys are split by adaptive execution.
     def with_statistics(df: DataFrame) -> DataFrame:
-        df = df.join(statistics("suffix"), "suffix", "left").join(statistics("head").drop("head_rows"), "head", "left")
+        df = df.join(statistics("suffix"), ["suffix", "fold"], "left").join(statistics("head").drop("head_rows"), ["head", "fold"], "left")
         return df.fillna({"suffix_share": total["share"], "suffix_rows": 0, "head_share": total["share"]})
 
     million = 1_000_000
-    sample = learned.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(million)) < min(million, -(-million * p.sample_rows // max(1, total["n"]))))
+    sample = learned.where(F.pmod(F.xxhash64("id", "url", F.lit(9)), F.lit(million)) < min(million, -(-million * p.sample_rows // max(1, total["n"]))))
     got = _featured(with_statistics(sample), ["blocked"])[0].toArrow()
     x = np.array(got.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     trees = spark.sparkContext.broadcast(Trees(p).fit(x, np.array(got.column("blocked").to_pylist(), dtype=float)))
