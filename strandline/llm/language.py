@@ -10,8 +10,8 @@ beyond the first. The prediction is the language with the largest share.
 Defined results: `und` with score 0 where the text is null, empty or has no
 letter; a tie goes to the language whose name sorts first; repeated rows give
 repeated results; an empty table gives an empty result; without labelled rows
-every text is `und`. Whole texts are read, the longest ones too. Only the id and
-text columns take part in a prediction.
+every text is `und`. Whole texts are read; the longest go through in pieces that end
+between words. Only the id and text columns take part in a prediction.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ UNDETERMINED = "und"
 class LanguageParameters:
     #: Labelled rows of each language to learn from, in expectation; all of a language that has fewer.
     rows_per_language: int = 4000
+    #: Languages that a model may have; more are an error, as the model is sent to every task.
+    most_languages: int = 512
     #: Trigrams are hashed to this number of bits.
     bits: int = 16
     #: Count added to every trigram of every language.
@@ -61,6 +63,21 @@ def trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return gram.astype(np.int64), np.concatenate(([0], np.cumsum(end - start)))[:-1], row
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ends of pieces of about a chunk that end between words; a longer word stays whole."""
+    a = 0
+    while a < len(data):
+        b = min(a + tk.CHUNK_BYTES, len(data))
+        if b < len(data):
+            gap = np.flatnonzero(NOT_WORD[data[b : b + 4096]])
+            while not len(gap) and b < len(data):
+                b += 4096
+                gap = np.flatnonzero(NOT_WORD[data[b : b + 4096]])
+            b = min(b + int(gap[0]), len(data)) if len(gap) else len(data)
+        yield a, b
+        a = b
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Names of the languages and log probabilities (trigrams x languages)."""
@@ -73,11 +90,15 @@ class LanguageModel:
         """Proportions (rows x languages, zero outside the chosen set) and number of words of each row."""
         n_rows, n_langs = len(offsets) - 1, len(self.names)
         share = np.zeros((n_rows, n_langs))
-        gram, first, row = trigrams(data, offsets, self.p.bits)
-        count = np.bincount(row, minlength=n_rows)
-        if not len(row) or not n_langs:
+        count, parts = np.zeros(n_rows, dtype=np.int64), []
+        for a, b in pieces(data):
+            gram, first, row = trigrams(data[a:b], np.clip(offsets, a, b) - a, self.p.bits)
+            count += np.bincount(row, minlength=n_rows)
+            if len(row) and n_langs:
+                parts.append(np.add.reduceat(self.logp[gram], first, axis=0, dtype=np.float64))
+        if not parts:
             return share, count
-        ll = np.add.reduceat(self.logp[gram], first, axis=0, dtype=np.float64)
+        ll = np.concatenate(parts)
         ll -= ll.max(axis=1, keepdims=True)
         word_p = np.maximum(np.exp(ll), self.p.floor)
         rows = np.flatnonzero(count)
@@ -126,20 +147,22 @@ def learn(labelled: DataFrame, p: LanguageParameters = LanguageParameters()) ->
     """Learn from columns id, text, lang; rows without text or label are left out.
 
     rows_per_language bounds the sample; which rows are in it depends on their
-    ids alone. Counts are summed by the cluster; at most 2 ** bits rows for each
+    ids and texts alone, so that rows that share an id do not share a draw. Counts are summed by the cluster; at most 2 ** bits rows for each
     language reach the driver.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(p.most_languages + 1).collect()}
+    if len(sizes) > p.most_languages:
+        raise ValueError(f"more than {p.most_languages} languages in the labels; most_languages bounds the model")
     names = sorted(sizes)
     logp = np.zeros((1 << p.bits, len(names)), dtype=np.float32)
     if not names:
         return LanguageModel(names, logp, p)
     million = 1_000_000
     limit = F.create_map(*[F.lit(x) for name in names for x in (name, min(million, -(-million * p.rows_per_language // sizes[name])))])
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(20)), F.lit(million)) < F.element_at(limit, F.col("lang")))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(20)), F.lit(million)) < F.element_at(limit, F.col("lang")))
     bits = p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,49 @@ def test_language_mixtures(spark):
     assert {r["lang_pred"] for r in language.predict(docs_of(spark, ["abc"]), none).collect()} == {"und"}
 
 
+def test_language_choice_is_brute_force():
+    """Sets of languages by penalised likelihood, over all sets, where the best sets are nested as those tried are."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        count, mix = int(rng.integers(30, 120)), rng.dirichlet([0.5, 0.5, 0.5])
+        word_p = np.maximum(np.eye(3)[rng.choice(3, count, p=mix)], 1e-6) * rng.uniform(0.5, 1, (count, 1))
+
+        def em(langs):
+            pi = np.zeros(3)
+            pi[list(langs)] = 1 / len(langs)
+            for _ in range(12 if len(langs) > 1 else 0):
+                r = word_p * pi
+                pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            return np.log((word_p * pi).sum(axis=1)).sum() - (len(langs) - 1) * 0.5 * np.log(count), pi
+
+        want = max((em(s) for k in (1, 2, 3) for s in combinations(range(3), k)), key=lambda x: x[0])[1]
+        assert np.allclose(language._choose(word_p, np.array([count]), 12)[0], want, atol=1e-6)
+
+
+def test_language_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = language.LanguageModel(["a", "b"], np.log(rng.random((1 << 16, 2)).astype(np.float32)), language.LanguageParameters())
+    rows = [b"some words here " * 4000, b"x" * 30_000, b"", b"a" * 9000 + b" b", "é ".encode() * 5000]
+    data, offsets = np.frombuffer(b"".join(rows), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    whole = model.mixtures(data, offsets)
+    monkeypatch.setattr(language.tk, "CHUNK_BYTES", 1000)
+    cut = model.mixtures(data, offsets)
+    assert len(list(language.pieces(data))) > 20 and (whole[1] == cut[1]).all() and np.allclose(whole[0], cut[0])
+
+
+def test_language_held_out_accuracy(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    found = language.op1_language_mixture(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    rows = found.where("lang IS NOT NULL AND lang_pred <> 'und'").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).collect()
+    assert len(rows) > 20 and np.mean([r["ok"] for r in rows]) > 0.95
+
+
 def test_em_is_the_slow_em():
     rng = np.random.default_rng(1)
     p, count = rng.random((50, 3)), np.array([20, 30])
@@ -270,6 +313,33 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_learn_given_labels(spark):
+    """Labels of some URLs decide others; the sample is bounded, and rows that share an id do not share a draw."""
+    rng = random.Random(7)
+    bad = lambda: f"http://{rng.choice('abcdef')}{rng.randrange(999)}-{rng.randrange(99)}-win.example.com/x{rng.randrange(9999)}?a={rng.randrange(9)}&b=1&c=2"
+    good = lambda: f"https://{rng.choice('abcdef')}{rng.choice('klm')}site.example.com/{rng.choice(['news', 'wiki'])}/{rng.choice('uvw')}"
+    labelled = spark.createDataFrame([(bad(), True) for _ in range(600)] + [(good(), False) for _ in range(600)], "url string, blocked boolean")
+    held_out = [(7, bad(), True) for _ in range(200)] + [(None, good(), False) for _ in range(200)]
+    pages = spark.createDataFrame(held_out, "page_id long, url string, bad boolean")
+    for p in (urls.Boosting(), urls.Boosting(sample_rows=200)):
+        got = urls.judge(pages, labels=labelled, marked=(), p=p).collect()
+        assert len(got) == 400 and np.mean([(r["verdict"] == "block") == (r["id"] == 7) for r in got]) > 0.95
+
+
+def test_url_seeds_reach_other_hosts():
+    """Trained with the word spam only, hosts of the same shape with other words are found, and clean ones are left alone."""
+    rng = random.Random(8)
+    hosts = [(f"http://{rng.choice(['', 'm.', 'www.'])}{w}.example.com/fr/{rng.randrange(99)}", w) for w in rng.choices(["spam-farm", "casino-win", "free-bets", *[f"th{rng.choice('abcdef')}{rng.choice('klmn')}er" for _ in range(20)]], k=1500)]
+    import pyarrow as pa
+
+    x = urls.lexical(pa.array([u for u, _ in hosts]), np.array([len(u.split("/")[2]) for u, _ in hosts]), np.array([len(u) - len("http://") - len(u.split("/")[2]) for u, _ in hosts]))
+    seeds = np.array([w == "spam-farm" for _, w in hosts])
+    other = np.array([w in ("casino-win", "free-bets") for _, w in hosts])
+    trees = urls.Trees(urls.Boosting()).fit(x[~other], seeds[~other].astype(float))
+    p = trees.probability(x) >= 0.5
+    assert p[other].mean() > 0.8 and p[~seeds & ~other].mean() < 0.05
+
+
 def test_trees_learn_held_out_labels():
     rng = np.random.default_rng(3)
     x = rng.random((2000, 17))
@@ -316,7 +386,7 @@ def test_packing_keeps_every_id(spark):
     reference = tokenizers.Tokenizer.from_str(text)
     rng = random.Random(8)
     docs = [*ODD, "don't it's we'll 'tis '", "<|endoftext|> x", "a\x85b\xa0c ² 3.14"] + [" ".join("abc"[: rng.randint(1, 3)] * rng.randint(1, 3) + rng.choice(["", ".", ","]) for _ in range(rng.randrange(400))) for _ in range(60)]
-    p = packing.Packing(window=256, block=3)
+    p = packing.Packing(window=256, block=3, window_cost=8)
     rows = packing.pack(docs_of(spark, docs).repartition(2, "doc_id"), text, p).collect()
     ids = {i: np.array(reference.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4") for i, t in enumerate(docs)}
     by_doc, by_sequence = {}, {}
