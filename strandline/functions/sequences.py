@@ -49,9 +49,13 @@ def has_deletion(d: Column) -> Column:
 
 def species(description: Column) -> Column:
     """Species of a UniProt or UniRef100 description, else the empty string."""
-    uniprot = F.regexp_extract(description, r"^(?:tr|sp)\|[A-Z0-9]{6,10}(?:_\d+)?\|(?:[A-Z0-9]{1,10}_)([A-Z0-9]{1,5})", 1)
-    uniref = F.regexp_extract(description, r"^UniRef100_[^_]+_([^_/]+)/?", 1)
-    return F.when(uniprot != "", uniprot).when(uniref != "", uniref).otherwise("")
+    # UniProt: database|accession|name_species; a cluster member: UniRef100_accession_taxon/range.
+    bars, words = F.split(description, r"\|"), F.split(description, "_")
+    entry = F.split(F.get(bars, 2), "_")
+    known = F.get(bars, 0).isin("tr", "sp") & F.get(bars, 1).rlike(r"^[A-Z0-9]{6,10}(_\d+)?$") & F.get(entry, 0).rlike("^[A-Z0-9]{1,10}$")
+    mnemonic = F.regexp_extract(F.get(entry, 1), "^[A-Z0-9]{1,5}", 0)
+    taxon = F.when((F.get(words, 0) == "UniRef100") & (F.get(words, 1) != ""), F.substring_index(F.get(words, 2), "/", 1))
+    return F.coalesce(F.when(known & (mnemonic != ""), mnemonic), taxon, F.lit(""))
 
 
 def hit_indices(seq: Column, start: Column) -> Column:
@@ -66,10 +70,10 @@ def without_digits(text: Column) -> Column:
 
 
 def letters_of_number(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA: chain names (up to six letters)."""
+    """1 -> A, 26 -> Z, 27 -> AA: chain names of any 64-bit number."""
     state = lambda left, name: F.struct(left.cast("long").alias("left"), name.alias("name"))
     step = lambda s, _: F.when(s["left"] > 0, state(F.floor((s["left"] - 1) / 26), F.concat(F.chr(F.pmod(s["left"] - 1, F.lit(26)) + 65), s["name"]))).otherwise(s)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), state(n, F.lit("")), step)["name"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), state(n, F.lit("")), step)["name"]
 
 
 def align_to_query(seq: Column, query: Column) -> Column:

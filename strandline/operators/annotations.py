@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.kernels import typed
 from strandline.operators.spatial import AXES, grid_pairs
 
 PURINES, PYRIMIDINES = ("A", "G", "DA", "DG"), ("C", "U", "DC", "DT")
@@ -172,7 +173,7 @@ def match_chains(true: DataFrame, predicted: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["pdb_id", "entity_id", "chain_id", "predicted", "distance"])
 
     true, predicted = (df.toDF(*df.columns) for df in (true, predicted))
-    return true.groupBy("pdb_id", "entity_id").cogroup(predicted.groupBy("pdb_id", "entity_id")).applyInPandas(run, "pdb_id long, entity_id long, chain_id long, predicted long, distance double")
+    return true.groupBy("pdb_id", "entity_id").cogroup(predicted.groupBy("pdb_id", "entity_id")).applyInPandas(run, f"{typed(true, 'pdb_id', 'entity_id', 'chain_id')}, predicted {predicted.schema['chain_id'].dataType.simpleString()}, distance double")
 
 
 def pocket_constraint(atoms: DataFrame, binder: Column, radius: float, size: int, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that spark.checkpoint.dir names; a local session without one takes a folder of its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,14 +28,14 @@ def components(edges: DataFrame, group: str = "pdb_id") -> DataFrame:
     node its label names, until nothing changes; the last doubles the reach.
     """
     both = edges.select(group, F.col("i").alias("node"), F.col("j").alias("other"))
-    both = _checkpointed(both.union(both.select(group, "other", "node")).distinct())
-    labels = _checkpointed(both.groupBy(group, "node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    both = checkpointed(both.union(both.select(group, "other", "node")).distinct())
+    labels = checkpointed(both.groupBy(group, "node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
     while True:
         seen = both.join(labels.select(group, F.col("node").alias("other"), "component"), [group, "other"]).groupBy(group, "node").agg(F.min("component").alias("near"))
         step = labels.join(seen, [group, "node"]).select(group, "node", "component", F.least("near", "component").alias("new"))
         jump = labels.select(group, F.col("node").alias("new"), F.col("component").alias("far"))
         nxt = step.join(jump, [group, "new"], "left").select(group, "node", F.least("new", F.coalesce("far", "new")).alias("next"), "component")
-        nxt = _checkpointed(nxt)
+        nxt = checkpointed(nxt)
         if nxt.where("next <> component").isEmpty():
             return nxt.select(group, "node", "component")
         labels = nxt.select(group, "node", F.col("next").alias("component"))
@@ -44,5 +44,5 @@ def components(edges: DataFrame, group: str = "pdb_id") -> DataFrame:
 def largest_component(nodes: DataFrame, group: str = "pdb_id") -> DataFrame:
     """Nodes of the component with most nodes in each group; of ties the one with the smallest name."""
     sizes = nodes.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy(group).agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).select(group, (-F.col("m.c")).alias("component"))
+    top = sizes.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("m"), "component")).alias("b")).select(group, F.col("b.component").alias("component"))
     return nodes.join(top, [group, "component"])

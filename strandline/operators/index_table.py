@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import checkpointed
+
 #: Weight of a row's type, and of its number of chains of each molecule type.
 BETA = {"chain": 0.5, "interface": 1.0}
 ALPHA = {"prot": 3.0, "nuc": 3.0, "ligand": 1.0}
@@ -32,12 +34,13 @@ def sample_weights(index: DataFrame, beta: dict = BETA, alpha: dict = ALPHA, eps
 
     weight = beta(type) * sum of alpha over the row's chains / (distinct keys of
     the cluster + eps) / rows of the key. Both counts come from one aggregation
-    by (cluster, key), so the rows are shuffled once for each join.
+    by (cluster, key), which combines map-side, so a hot cluster is a row for each key.
     """
     rows = index.withColumn("key", entity_key())
     of = lambda m, col: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col(col)), F.lit(0.0))
-    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("member_num"))
-    clusters = rows.where("cluster_id IS NOT NULL").select("cluster_id", "key").distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    counts = rows.groupBy("cluster_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    members = counts.groupBy("key").agg(F.sum("n").alias("member_num"))
+    clusters = counts.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     weight = of(beta, "type") * (of(alpha, "mol_1_type") + F.when(F.col("mol_2_type").isNull(), 0.0).otherwise(of(alpha, "mol_2_type"))) / (F.col("cluster_size") + eps) / F.col("member_num")
     return rows.join(members, "key").join(clusters, "cluster_id", "left").withColumn("weight", weight)
 
@@ -118,10 +121,13 @@ def strided_shard(rows: DataFrame, order: list, replicas: int) -> DataFrame:
 
 
 def with_row_number(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds a number from 0 in the order, over all rows: ranges are sorted apart and shifted by the sizes of those before."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, so that both uses below see the same parts
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """Adds a number from 0 in the order, over all rows: ranges are sorted apart and shifted by the sizes of those before.
+
+    The sorted rows are checkpointed: evaluated twice, they could be cut into other
+    ranges the second time, and the sizes would belong to other parts.
+    """
+    placed = checkpointed(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return placed.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_at", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_at", "_before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,11 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 
 
+def typed(df: DataFrame, *columns: str) -> str:
+    """Columns of df with their types, as a schema; ids may be numbers or text."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def kabsch(cross: np.ndarray, reflect: bool = False) -> np.ndarray:
     """Rotation that takes centred predicted points onto true ones, from their 3 x 3 covariance."""
     u, _, vt = np.linalg.svd(cross)
@@ -49,12 +56,12 @@ def remove_clashing_chains(ratios: DataFrame, pairs: DataFrame, most: float = 0.
     ratios: pdb_id, chain_id, n; pairs: pdb_id, chain_id, other, atoms (of chain_id that clash with other).
     """
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         size, gone = dict(zip(left["chain_id"], left["n"])), []
         clash = {(a, b): n for a, b, n in zip(right["chain_id"], right["other"], right["atoms"])}
         while True:
             share = {a: sum(n for (x, y), n in clash.items() if x == a and y not in gone) / size[a] for a in size if a not in gone}
-            worst = max(share, key=lambda a: (share[a], -size[a], -a), default=None)
+            worst = min(share, key=lambda a: (-share[a], size[a], a), default=None)
             if worst is None or share[worst] <= most:
                 break
             gone.append(worst)
@@ -62,17 +69,17 @@ def remove_clashing_chains(ratios: DataFrame, pairs: DataFrame, most: float = 0.
 
     # Both sides often stem from one table; new names for the columns tell them apart.
     ratios, pairs = (df.toDF(*df.columns) for df in (ratios, pairs))
-    return ratios.groupBy("pdb_id").cogroup(pairs.groupBy("pdb_id")).applyInPandas(run, "pdb_id long, chain_id long, step long")
+    return ratios.groupBy("pdb_id").cogroup(pairs.groupBy("pdb_id")).applyInPandas(run, f"{typed(ratios, 'pdb_id', 'chain_id')}, step long")
 
 
 def contiguous_crop(tokens: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """Windows of neighbouring tokens of each chain, in a seeded order of chains, that fill a budget; tokens has pdb_id, chain_id, token."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(np.random.SeedSequence([seed, int(key[0])]))
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(np.random.SeedSequence([seed, zlib.crc32(str(key[0]).encode())]))
         left, rest, out = size, len(pdf), []
         chains = sorted(pdf["chain_id"].unique().tolist())
-        for chain in rng.permutation(chains):
+        for chain in (chains[i] for i in rng.permutation(len(chains))):
             own = pdf.loc[pdf["chain_id"] == chain, "token"].sort_values().to_numpy()
             rest -= len(own)
             most, least = min(left, len(own)), max(0, min(left - rest, len(own)))
@@ -82,7 +89,7 @@ def contiguous_crop(tokens: DataFrame, size: int, seed: int = 0) -> DataFrame:
             left -= n
         return pd.DataFrame({"pdb_id": [key[0]] * len(out), "chain_id": [c for c, _ in out], "token": [t for _, t in out]})
 
-    return tokens.groupBy("pdb_id").applyInPandas(run, "pdb_id long, chain_id long, token long")
+    return tokens.groupBy("pdb_id").applyInPandas(run, typed(tokens, "pdb_id", "chain_id", "token"))
 
 
 def global_alignment(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[str, str]:

@@ -37,20 +37,25 @@ def weighted_draws(rows: DataFrame, weight: str, n: int, key: str, buckets: int
     sums = placed.groupBy("_b").agg(F.sum("_w").alias("_s"))
     total = W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     edges = sums.withColumn("_hi", F.sum("_s").over(total)).withColumn("_lo", F.col("_hi") - F.col("_s"))
-    whole = edges.agg(F.max("_hi").alias("_t"))
+    # One row with all edges in order (at most `buckets`); a draw finds its bucket there by binary search.
+    whole = edges.agg(F.max("_hi").alias("_t"), F.sort_array(F.collect_list(F.struct("_lo", "_b"))).alias("_e")).where("_t IS NOT NULL")
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform(seed, "draw")).crossJoin(F.broadcast(whole)).withColumn("_x", F.col("_u") * F.col("_t"))
-    chosen = draws.join(F.broadcast(edges), (F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select("draw", "_b", (F.col("_x") - F.col("_lo")).alias("_y"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.coalesce(F.get("_e", k + step)["_lo"] < F.col("_x"), F.lit(False)), k + step).otherwise(k))
+    chosen = draws.select("draw", "_x", F.get("_e", at).alias("_f")).select("draw", "_f._b", (F.col("_x") - F.col("_f._lo")).alias("_y"))
     inside = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     keyed = placed.withColumn("_h", F.sum("_w").over(inside)).withColumn("_l", F.col("_h") - F.col("_w"))
     return chosen.join(keyed, "_b").where("_y > _l AND _y <= _h").select("draw", key)
 
 
-def balanced_assignment(rows: DataFrame, key: str, order: str, workers: int) -> DataFrame:
+def balanced_assignment(rows: DataFrame, key: str, order: str, workers: int, most_rows: int = 2_000_000) -> DataFrame:
     """Adds worker: rows by falling key, each to the worker with the least load (sum of squared keys) that has room.
 
-    The greedy rule is one ordered pass over (order, key) pairs, which is all
-    that the pass reads; rows of a large table are balanced by shard.
+    The greedy rule is one ordered pass, in one task, over (order, key) pairs, and
+    a table of more than `most_rows` is an error: balance the sums of its shards.
     """
+    if rows.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows; balance the sums of shards instead")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import heapq

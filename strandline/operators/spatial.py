@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from strandline.operators.structure import distance
 
 AXES = ("x", "y", "z")
+#: Atoms of a block where all pairs of a structure are needed.
+PAIR_BLOCK = 1024
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, radius: float, within: str = "pdb_id", strict: bool = True) -> DataFrame:
@@ -72,10 +74,18 @@ def contacts(atoms: DataFrame, least: float, most: float, apart: int) -> DataFra
 
 
 def structure_pairs(atoms: DataFrame) -> DataFrame:
-    """All unordered atom pairs of each structure with true and predicted distances: for measures that need every pair."""
-    a, b = atoms.alias("a"), atoms.alias("b")
+    """All unordered atom pairs of each structure with true and predicted distances: for measures that need every pair.
+
+    A structure's atoms are dealt to blocks of about PAIR_BLOCK, and each pair of
+    blocks is a key of its own, so that a large structure is spread over many tasks.
+    """
+    parts = atoms.groupBy("pdb_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_parts"))
+    rows = atoms.join(parts, "pdb_id").withColumn("_own", F.pmod(F.xxhash64("atom_idx"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a, b = rows.withColumn("_other", every).alias("a"), rows.withColumn("_other", every).alias("b")
     predicted = distance("a.", "b.", ("px", "py", "pz"))
-    return a.join(b, (F.col("a.pdb_id") == F.col("b.pdb_id")) & (F.col("a.atom_idx") < F.col("b.atom_idx"))).select(
+    met = (F.col("a.pdb_id") == F.col("b.pdb_id")) & (F.col("a._own") == F.col("b._other")) & (F.col("a._other") == F.col("b._own"))
+    return a.join(b, met & (F.col("a.atom_idx") < F.col("b.atom_idx"))).select(
         F.col("a.pdb_id").alias("pdb_id"), F.col("a.atom_idx").alias("i"), F.col("b.atom_idx").alias("j"), F.col("a.chain_id").alias("ci"), F.col("b.chain_id").alias("cj"), F.col("a.res_id").alias("ri"), F.col("b.res_id").alias("rj"),
         (F.col("a.is_resolved") & F.col("b.is_resolved")).alias("both_resolved"), distance("a.", "b.").alias("d"), predicted.alias("pd"),
     )
@@ -113,7 +123,10 @@ def rmsd(atoms: DataFrame, eps: float = 0.0) -> DataFrame:
 
 
 def spatial_crop(atoms: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
-    """The nearest resolved atoms to the anchor (pdb_id, atom_idx) of each structure, with their rank by distance; ties by index."""
+    """The nearest resolved atoms to the anchor (pdb_id, atom_idx) of each structure, with their rank by distance; ties by index.
+
+    The bound on the rank reaches the plan as a group limit before the shuffle, so each task sends at most `size` rows of a structure.
+    """
     ref = anchors.join(atoms, ["pdb_id", "atom_idx"]).select("pdb_id", *[F.col(c).alias(f"r{c}") for c in AXES])
     both = atoms.where("is_resolved").join(ref, "pdb_id")
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"r{c}"), 2) for c in "yz"), F.pow(F.col("x") - F.col("rx"), 2)))
@@ -126,7 +139,7 @@ def pocket(atoms: DataFrame, ligand_chain, radius: float = 10.0) -> DataFrame:
     ligand, rest = atoms.where(F.col("chain_id") == ligand_chain), atoms.where((F.col("chain_id") != ligand_chain) & F.col("is_resolved"))
     near = grid_pairs(rest, ligand, radius).select("a.pdb_id", "a.chain_id", "a.res_id", "a.atom_idx").distinct()
     by_chain = near.groupBy("pdb_id", "chain_id").agg(F.count(F.lit(1)).alias("n"))
-    top = by_chain.groupBy("pdb_id").agg(F.max(F.struct("n", (-F.col("chain_id")).alias("c"))).alias("m")).select("pdb_id", (-F.col("m.c")).alias("primary"))
+    top = by_chain.groupBy("pdb_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "chain_id")).alias("b")).select("pdb_id", F.col("b.chain_id").alias("primary"))
     residues = near.groupBy("pdb_id", "chain_id", "res_id").agg(F.count(F.lit(1)).alias("atoms"))
     return residues.join(top, "pdb_id").withColumn("is_primary", F.col("chain_id") == F.col("primary")).drop("primary")
 
@@ -174,7 +187,12 @@ def flat_bottom_parabolic(value: Column, low: float | None, high: float | None,
     return 0.5 * k * F.pow(flat_bottom_linear(value, low, high), 2)
 
 
+#: Weights of the two Gaussians and the repulsion in the published AutoDock Vina scoring function (Trott and Olson, 2010).
+STERIC = (-0.0356, -0.00516, 0.84)
+
+
 def steric_energy(d: Column, equilibrium: float) -> Column:
-    """Two attractive Gaussians and a repulsion below the equilibrium distance."""
+    """Two attractive Gaussians and a repulsion below the equilibrium distance, with the weights of STERIC."""
     delta = d - equilibrium
-    return -0.0356 * F.exp(-F.pow(delta / 0.5, 2)) - 0.00516 * F.exp(-F.pow((delta - 3) / 2, 2)) + 0.84 * F.pow(F.least(delta, F.lit(0.0)), 2)
+    near, far, repulsion = STERIC
+    return near * F.exp(-F.pow(delta / 0.5, 2)) + far * F.exp(-F.pow((delta - 3) / 2, 2)) + repulsion * F.pow(F.least(delta, F.lit(0.0)), 2)

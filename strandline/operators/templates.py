@@ -20,7 +20,7 @@ def reject_reason(release: Column, cutoff: Column, aligned: Column, query_length
 def select_hits(hits: DataFrame, most: int, score: str = "sum_probs", sequence: str = "hit_sequence", order: str = "hit") -> DataFrame:
     """The best hits of each query: by score (null as 0), one for each sequence, and at most `most`."""
     rows = hits.withColumn("_s", F.coalesce(F.col(score), F.lit(0.0)))
-    best = rows.groupBy("query", sequence).agg(F.max(F.struct(F.col("_s"), (-F.col(order)).alias("o"))).alias("b"))
-    best = best.select("query", sequence, F.col("b._s").alias("score"), (-F.col("b.o")).alias(order))
+    best = rows.groupBy("query", sequence).agg(F.min(F.struct((-F.col("_s")).alias("m"), order)).alias("b"))
+    best = best.select("query", sequence, (-F.col("b.m")).alias("score"), F.col(f"b.{order}").alias(order))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), order)))
     return ranked.where(F.col("rank") <= most)

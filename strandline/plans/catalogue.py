@@ -163,10 +163,16 @@ def nonzero_delta_counts(spark, sf_dir):
     return rows.groupBy("type").agg(F.sum((F.col("delta") != 0).cast("int")).alias("changed"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + INDEX.strip() + ", n AS (SELECT *, row_number() OVER (ORDER BY pdb_id, row_no, entity_1_id, num_tokens) - 1 AS draw FROM v_index) SELECT draw % 8 AS replica, count(*) AS n, min(draw) AS first, max(draw) AS last FROM n GROUP BY 1")
+@query("WITH " + INDEX.strip() + ", n AS (SELECT *, row_number() OVER (ORDER BY pdb_id, row_no, entity_1_id, num_tokens) - 1 AS draw FROM v_index) SELECT draw % 8 AS replica, draw, pdb_id, row_no, entity_1_id, num_tokens FROM n")
 def strided_shards(spark, sf_dir):
-    dealt = index_table.strided_shard(views.index(spark, sf_dir), ["pdb_id", "row_no", "entity_1_id", "num_tokens"], 8)
-    return dealt.groupBy("replica").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"), F.max("draw").alias("last"))
+    order = ["pdb_id", "row_no", "entity_1_id", "num_tokens"]
+    return index_table.strided_shard(views.index(spark, sf_dir), order, 8).select("replica", "draw", *order)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) - 1 AS number FROM lineitem")
+def global_row_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return index_table.with_row_number(rows, ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"], "number")
 
 
 @query()
@@ -441,7 +447,14 @@ def bond_components(spark, sf_dir):
     return graph.components(spatial.bonds(views.atoms(spark, sf_dir), 4.0))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + EDGES
+    + """, walk AS (SELECT DISTINCT pdb_id, i AS node, i AS seen FROM b UNION SELECT w.pdb_id, w.node, b.j FROM walk w JOIN b ON b.pdb_id = w.pdb_id AND b.i = w.seen),
+c AS (SELECT pdb_id, node, min(seen) AS component FROM walk GROUP BY ALL), n AS (SELECT pdb_id, component, count(*) AS n FROM c GROUP BY ALL),
+top AS (SELECT pdb_id, component FROM n QUALIFY row_number() OVER (PARTITION BY pdb_id ORDER BY n DESC, component) = 1)
+SELECT pdb_id, component, node FROM c SEMI JOIN top USING (pdb_id, component)"""
+)
 def largest_bonded_part(spark, sf_dir):
     return graph.largest_component(graph.components(spatial.bonds(views.atoms(spark, sf_dir), 4.0)))
 
@@ -524,8 +537,10 @@ def gap_rows(spark, sf_dir):
 
 
 @query(
-    r"""WITH h AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'UniRef100_' || replace(s_name, '#', '') || '_' || s_nationkey || '/' WHEN 1 THEN 'tr|Q' || lpad(s_suppkey::VARCHAR, 6, '0') || '|ABC_HUM' || s_nationkey ELSE s_name END AS d FROM supplier)
-SELECT k, CASE WHEN regexp_extract(d, '^(?:tr|sp)\|[A-Z0-9]{6,10}(?:_\d+)?\|(?:[A-Z0-9]{1,10}_)([A-Z0-9]{1,5})', 1) <> '' THEN regexp_extract(d, '^(?:tr|sp)\|[A-Z0-9]{6,10}(?:_\d+)?\|(?:[A-Z0-9]{1,10}_)([A-Z0-9]{1,5})', 1) ELSE regexp_extract(d, '^UniRef100_[^_]+_([^_/]+)/?', 1) END AS species FROM h"""
+    r"""WITH h AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'UniRef100_' || replace(s_name, '#', '') || '_' || s_nationkey || '/' WHEN 1 THEN 'tr|Q' || lpad(s_suppkey::VARCHAR, 6, '0') || '|ABC_HUM' || s_nationkey ELSE s_name END AS d FROM supplier),
+p AS (SELECT k, string_split(d, '|') AS b, string_split(d, '_') AS w FROM h), q AS (SELECT *, string_split(b[3], '_') AS e FROM p)
+SELECT k, CASE WHEN b[1] IN ('tr', 'sp') AND regexp_matches(b[2], '^[A-Z0-9]{6,10}(_[0-9]+)?$') AND regexp_matches(e[1], '^[A-Z0-9]{1,10}$') THEN regexp_extract(e[2], '^[A-Z0-9]{1,5}')
+  WHEN w[1] = 'UniRef100' THEN string_split(w[3], '/')[1] ELSE '' END AS species FROM q"""
 )
 def species_regex(spark, sf_dir):
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")

@@ -6,10 +6,11 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
-from strandline.operators import alignment, confidence, graph, index_table, kernels, sampling, spatial, structure
+from strandline.operators import alignment, annotations, confidence, graph, index_table, kernels, sampling, spatial, structure, templates
 from strandline.sources import text_formats as tf
 
 
@@ -224,3 +225,43 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r["start"], r["event_type"], r["n"], r["mean"])
     assert sorted(map(key, spark.table("windowed_scores").collect())) == sorted(map(key, scores.windowed(rows).collect()))
+
+
+def test_row_numbers_of_a_wide_table(spark):
+    """A million rows with a payload: every number once, in the order."""
+    rows = spark.range(1_000_000, numPartitions=7).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 20).alias("payload"), "id")
+    out = index_table.with_row_number(rows, ["k"], "number")
+    assert out.agg(F.countDistinct("number"), F.min("number"), F.max("number")).first()[:] == (1_000_000, 0, 999_999)
+    w = Window.orderBy("number")
+    part = out.where("number BETWEEN 400000 AND 420000").withColumn("up", F.lead("k").over(w) > F.col("k"))
+    assert part.where("NOT up").isEmpty()
+    assert index_table.with_row_number(rows.limit(0), ["k"], "number").count() == 0
+
+
+def test_text_ids_through_kernels(spark):
+    """Ids as an mmCIF file has them: structures and chains are text."""
+    rng = random.Random(4)
+    rows = [(s, c, k * 60 + i, i // 4, float(i % 4) + k * 0.4, float(i // 4), rng.random(), True, str(k % 2 + 1)) for s in ("1abc", "2xyz") for k, c in enumerate("ABC") for i in range(60)]
+    atoms = spark.createDataFrame(rows, "pdb_id string, chain_id string, atom_idx long, res_id long, x double, y double, z double, is_resolved boolean, entity_id string")
+    crop = kernels.contiguous_crop(atoms.select("pdb_id", "chain_id", F.col("atom_idx").alias("token")), 50, seed=1)
+    assert {r["n"] for r in crop.groupBy("pdb_id").agg(F.count("*").alias("n")).collect()} == {50}
+    close = spatial.grid_pairs(atoms, atoms, 1.0).where("a.chain_id <> b.chain_id")
+    pairs = close.select("a.pdb_id", "a.chain_id", F.col("b.chain_id").alias("other"), "a.atom_idx").distinct().groupBy("pdb_id", "chain_id", "other").agg(F.count(F.lit(1)).alias("atoms"))
+    gone = kernels.remove_clashing_chains(atoms.groupBy("pdb_id", "chain_id").agg(F.count(F.lit(1)).alias("n")), pairs)
+    assert gone.where("pdb_id = '1abc' AND step = 0").count() == 1
+    near = spatial.pocket(atoms, F.lit("C"), 3.0)
+    assert {(r["chain_id"], r["is_primary"]) for r in near.collect()} == {("A", True), ("B", False)}  # both near as often: the smaller name
+    centres = atoms.groupBy("pdb_id", "entity_id", "chain_id").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    assert annotations.match_chains(centres, centres).where("chain_id <> predicted").count() == 0
+    edges = spatial.bonds(atoms.where("chain_id = 'A'"), 1.2).select("pdb_id", F.concat(F.lit("n"), "i").alias("i"), F.concat(F.lit("n"), "j").alias("j"))
+    assert graph.largest_component(graph.components(edges)).select("pdb_id").distinct().count() == 2
+    hits = spark.createDataFrame([("q", "b", 1.0, "S"), ("q", "a", 1.0, "S"), ("q", "c", 0.5, "T")], "query string, hit string, sum_probs double, hit_sequence string")
+    assert [r["hit"] for r in templates.select_hits(hits, 5).orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIR_BLOCK", 3)
+    rows = [(s, i, i % 2, i, float(i), 0.0, 0.0, float(i), 1.0, 0.0, True) for s, n in ((1, 10), (2, 1), (3, 2)) for i in range(n)]
+    atoms = spark.createDataFrame(rows, "pdb_id long, atom_idx long, chain_id long, res_id long, x double, y double, z double, px double, py double, pz double, is_resolved boolean")
+    got = sorted((r["pdb_id"], r["i"], r["j"], r["d"]) for r in spatial.structure_pairs(atoms).collect())
+    assert got == [(s, i, j, float(j - i)) for s, n in ((1, 10), (3, 2)) for i in range(n) for j in range(i + 1, n)]
