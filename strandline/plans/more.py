@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
-from strandline.operators import annotations, spatial
+from strandline.operators import annotations, entities, spatial
 from strandline.plans import views
 from strandline.plans.catalogue import chain_name_sql, query, r6
 from strandline.plans.views import ATOMS, INDEX, PAIRS, table
@@ -179,3 +179,24 @@ SELECT pdb_id, res_id, row_number() OVER (PARTITION BY pdb_id ORDER BY (res_id *
 def pocket_constraint(spark, sf_dir):
     out = annotations.pocket_constraint(views.atoms(spark, sf_dir), F.col("chain_id") == 1, 6.0, 4, 5)
     return out.select("pdb_id", "res_id", F.col("rank").cast("long").alias("rank"))
+
+
+BETA_ATOM = "atom_name = CASE WHEN res_name = 'GLY' THEN 'CA' ELSE 'CB' END"
+
+
+@query("WITH " + ATOMS.strip() + " SELECT pdb_id, res_id, " + ", ".join(f"round(coalesce(max(CASE WHEN {BETA_ATOM} THEN {c} END), 0), 6) AS {c}" for c in "xyz") + f", max(({BETA_ATOM})::INT) AS mask FROM v_atoms GROUP BY ALL")
+def pseudo_beta(spark, sf_dir):
+    return entities.pseudo_beta(views.atoms(spark, sf_dir), ["pdb_id", "res_id"]).select("pdb_id", "res_id", r6("x"), r6("y"), r6("z"), "mask")
+
+
+@query(
+    "WITH "
+    + ATOMS.strip()
+    + """, m AS (SELECT pdb_id, res_id, min(sqrt(x ** 2 + y ** 2 + z ** 2)) AS d, bool_or(chain_id = 1) AS is_core FROM v_atoms GROUP BY ALL)
+SELECT pdb_id, res_id AS mol_id, row_number() OVER (PARTITION BY pdb_id ORDER BY is_core DESC, d, res_id) AS rank FROM m QUALIFY rank <= 20"""
+)
+def nearest_molecules(spark, sf_dir):
+    """Residues stand for molecules, the origin for the anchor."""
+    d = F.min(F.sqrt(F.pow("x", F.lit(2)) + F.pow("y", F.lit(2)) + F.pow("z", F.lit(2)))).alias("d")
+    molecules = views.atoms(spark, sf_dir).groupBy("pdb_id", F.col("res_id").alias("mol_id")).agg(d, F.bool_or(F.col("chain_id") == 1).alias("is_core"))
+    return entities.nearest_molecules(molecules, 20).select("pdb_id", "mol_id", F.col("rank").cast("long").alias("rank"))
