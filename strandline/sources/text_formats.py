@@ -1,12 +1,14 @@
 """FASTA, A3M, tab-separated hits, hhr and mmCIF text as DataFrames.
 
-Line formats go through Spark's own text reader, which splits files at line ends,
-and records are put together by windows within a file. mmCIF needs a tokenizer,
-so it is a Python data source with one partition per file.
+Line formats go through Spark's own text reader. Small files are read whole, so that
+their lines keep their order, and records are put together by windows within a file;
+`scan_fasta` is for large ones: it splits files at the record mark and needs no window.
+mmCIF needs a tokenizer, so it is a Python data source, with several files in a partition.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -30,6 +32,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return alignment.fasta_records(read_lines(spark, path), ["file"])
 
 
+def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """file, place (grows within a file), description, seq of FASTA files of any size, which are split between records."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^>", "").alias("v"))
+    lines = F.split("v", "\r?\n")
+    kept = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    return rows.where("v <> ''").select("file", "place", F.trim(lines[0]).alias("description"), F.array_join(kept, "").alias("seq"))
+
+
 def read_a3m(spark: SparkSession, path: str, depth: int | None = None, deduplicate: bool = True) -> DataFrame:
     """query (the file), row, description, species, seq; at most depth rows of a file, the first of each aligned sequence."""
     rows = read_fasta(spark, path).select(F.col("file").alias("query"), (F.col("record") - 1).alias("row"), "description", S.species(F.col("description")).alias("species"), "seq")
@@ -135,9 +145,9 @@ def cif_category(text: str, category: str) -> tuple[list[str], list[list[str]]]:
     return (list(single), [list(single.values())]) if single and not names else (names, rows)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 def _open(path: str) -> str:
@@ -154,8 +164,9 @@ def _open(path: str) -> str:
 class MmcifSource(DataSource):
     """format("mmcif"): rows of one category of mmCIF files, all columns as text.
 
-    Options: path (a file, or several with commas), category (atom_site by
-    default). Columns are those of the first file that has the category.
+    Options: path (a file) or paths (a JSON list), category (atom_site by default),
+    columns (a JSON list; by default those of the first file that has the category,
+    which the driver opens files to find), files (of a partition, 16 by default).
     """
 
     @classmethod
@@ -163,12 +174,15 @@ class MmcifSource(DataSource):
         return "mmcif"
 
     def _paths(self) -> list[str]:
-        return [p for p in self.options.get("path", "").split(",") if p]
+        path = self.options.get("path", "")
+        return json.loads(self.options["paths"]) if "paths" in self.options else [path] if path else []
 
     def _category(self) -> str:
         return self.options.get("category", "atom_site")
 
     def schema(self) -> T.StructType:
+        if "columns" in self.options:
+            return T.StructType([T.StructField(n, T.StringType()) for n in ["file", *json.loads(self.options["columns"])]])
         for p in self._paths():
             names, _ = cif_category(_open(p), self._category())
             if names:
@@ -176,26 +190,29 @@ class MmcifSource(DataSource):
         return T.StructType([T.StructField("file", T.StringType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _MmcifReader(self._paths(), self._category(), schema)
+        return _MmcifReader(self._paths(), self._category(), schema, int(self.options.get("files", 16)))
 
 
 class _MmcifReader(DataSourceReader):
-    def __init__(self, paths: list[str], category: str, schema: T.StructType):
-        self.paths, self.category, self.names = paths, category, [f.name for f in schema.fields][1:]
+    def __init__(self, paths: list[str], category: str, schema: T.StructType, files: int):
+        self.paths, self.category, self.names, self.files = paths, category, [f.name for f in schema.fields][1:], files
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        return [_Files(self.paths[i : i + self.files]) for i in range(0, len(self.paths), self.files)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        names, rows = cif_category(_open(partition.path), self.category)
-        at = [names.index(n) if n in names else None for n in self.names]
-        for row in rows:
-            yield (partition.path, *[None if k is None else row[k] for k in at])
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            names, rows = cif_category(_open(path), self.category)
+            at = [names.index(n) if n in names else None for n in self.names]
+            for row in rows:
+                yield (path, *[None if k is None else row[k] for k in at])
 
 
-def read_mmcif(spark: SparkSession, paths: list[str], category: str = "atom_site") -> DataFrame:
+def read_mmcif(spark: SparkSession, paths: list[str], category: str = "atom_site", columns: list[str] | None = None, files: int = 16) -> DataFrame:
+    """Rows of a category of the files; with columns given, the driver opens none of them."""
     spark.dataSource.register(MmcifSource)
-    return spark.read.format("mmcif").option("path", ",".join(paths)).option("category", category).load()
+    reader = spark.read.format("mmcif").option("paths", json.dumps(paths)).option("category", category).option("files", str(files))
+    return (reader.option("columns", json.dumps(columns)) if columns else reader).load()
 
 
 def atoms_of(sites: DataFrame, model: int = 1) -> DataFrame:

@@ -265,3 +265,26 @@ def test_pairs_by_blocks(spark, monkeypatch):
     atoms = spark.createDataFrame(rows, "pdb_id long, atom_idx long, chain_id long, res_id long, x double, y double, z double, px double, py double, pz double, is_resolved boolean")
     got = sorted((r["pdb_id"], r["i"], r["j"], r["d"]) for r in spatial.structure_pairs(atoms).collect())
     assert got == [(s, i, j, float(j - i)) for s, n in ((1, 10), (3, 2)) for i in range(n) for j in range(i + 1, n)]
+
+
+def test_fasta_is_split_between_records(spark, tmp_path):
+    text = "".join(f">r{i} a>b\n" + "".join(f"{'ACDE' * (i % 5 + 1)}\n" for _ in range(i % 3)) + ("# note\n\n" if i % 7 == 0 else "") for i in range(3000))
+    (tmp_path / "a,b.fasta").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = tf.scan_fasta(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        assert [(r["description"], r["seq"]) for r in df.orderBy("place").collect()] == [(f"r{i} a>b", "ACDE" * (i % 5 + 1) * (i % 3)) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_mmcif_paths_and_columns(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"s,{k}.cif").write_text(f"data_s\nloop_\n_exptl.entry_id\n_exptl.method\n{k} 'X-RAY DIFFRACTION'\n#\n")
+    paths = [str(tmp_path / f"s,{k}.cif") for k in range(5)]
+    for columns in (None, ["method", "entry_id", "absent"]):
+        rows = tf.read_mmcif(spark, paths, "exptl", columns, files=2).collect()
+        assert sorted((r["file"], r["entry_id"], r["method"]) for r in rows) == [(p, str(k), "X-RAY DIFFRACTION") for k, p in enumerate(paths)]
+    assert all(r["absent"] is None for r in rows)
