@@ -62,6 +62,16 @@ def pair_by_species(msa: DataFrame, most_per_species: int = 600) -> DataFrame:
     return numbered.join(common, "species").where("nth <= take").select("species", "nth", "query", "row", "chains")
 
 
+def featurize(msa: DataFrame, table: dict = S.PROTEIN_CODES, other: int = 20) -> DataFrame:
+    """query, row, codes, deletions, species, depth (rows of the query): the features of an alignment, row by row.
+
+    msa: query, row, description, seq. The depth is counted before the shuffle and joins the rows by its size.
+    """
+    depth = msa.groupBy("query").agg(F.count(F.lit(1)).alias("depth"))
+    rows = msa.select("query", "row", S.codes(F.col("seq"), table, other).alias("codes"), S.deletions(F.col("seq")).alias("deletions"), S.species(F.col("description")).alias("species"))
+    return rows.join(depth, "query")
+
+
 def unpaired(msa: DataFrame, paired: DataFrame) -> DataFrame:
     """Rows whose aligned sequence no paired row of the query has."""
     seen = paired.select("query", S.aligned(F.col("seq")).alias("aligned")).distinct()

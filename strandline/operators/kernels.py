@@ -17,6 +17,11 @@ def typed(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def ids(values: list) -> pd.Series:
+    """A column of numbers or text; without rows pandas would take it for numbers, which Arrow does not turn into text."""
+    return pd.Series(values, dtype=object)
+
+
 def kabsch(cross: np.ndarray, reflect: bool = False) -> np.ndarray:
     """Rotation that takes centred predicted points onto true ones, from their 3 x 3 covariance."""
     u, _, vt = np.linalg.svd(cross)
@@ -65,7 +70,7 @@ def remove_clashing_chains(ratios: DataFrame, pairs: DataFrame, most: float = 0.
             if worst is None or share[worst] <= most:
                 break
             gone.append(worst)
-        return pd.DataFrame({"pdb_id": [key[0]] * len(gone), "chain_id": gone, "step": range(len(gone))})
+        return pd.DataFrame({"pdb_id": ids([key[0]] * len(gone)), "chain_id": ids(gone), "step": range(len(gone))})
 
     # Both sides often stem from one table; new names for the columns tell them apart.
     ratios, pairs = (df.toDF(*df.columns) for df in (ratios, pairs))
@@ -87,7 +92,7 @@ def contiguous_crop(tokens: DataFrame, size: int, seed: int = 0) -> DataFrame:
             at = int(rng.integers(0, len(own) - n + 1))
             out += [(chain, t) for t in own[at : at + n]]
             left -= n
-        return pd.DataFrame({"pdb_id": [key[0]] * len(out), "chain_id": [c for c, _ in out], "token": [t for _, t in out]})
+        return pd.DataFrame({"pdb_id": ids([key[0]] * len(out)), "chain_id": ids([c for c, _ in out]), "token": [t for _, t in out]})
 
     return tokens.groupBy("pdb_id").applyInPandas(run, typed(tokens, "pdb_id", "chain_id", "token"))
 
