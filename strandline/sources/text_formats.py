@@ -155,6 +155,7 @@ def _open(path: str) -> str:
 
     from pyarrow import fs as pafs
 
+    path = re.sub("^file:/(?!/)", "/", path)  # Spark's form of local paths
     fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     with fs.open_input_stream(inner, compression=None) as f:
         data = f.read()
