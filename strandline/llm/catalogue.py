@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat, exact_dedup, language, licenses, near_dup, packing, pieces, quality, urls, warc
+from strandline.llm import chat, exact_dedup, language, licenses, lines, near_dup, packing, pieces, quality, urls, warc
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_trees": urls.op9_url_trees,
     "op10_pack_windows": packing.op10_pack_windows,
+    "op12_line_dedup": lines.op12_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_line_quality": quality.OP4_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op12_line_dedup": lines.OP12_SQL,
 }
