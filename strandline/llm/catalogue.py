@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat, exact_dedup, language, licenses, lines, near_dup, packing, pieces, quality, urls, warc
+from strandline.llm import chat, exact_dedup, language, licenses, lines, near_dup, packing, pieces, quality, repair, urls, variants, warc
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_trees": urls.op9_url_trees,
     "op10_pack_windows": packing.op10_pack_windows,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_line_dedup": lines.op12_line_dedup,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op6_warc_round_trip": warc.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op12_line_dedup": lines.OP12_SQL,
+    "op13_spelling_variants": variants.OP13_SQL,
 }
