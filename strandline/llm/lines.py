@@ -20,6 +20,7 @@ empty table gives an empty result; no other column is read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bounded_batches, materialise, table
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bytes of confirmed keys up to which they are broadcast; beyond it they are joined by shuffle, each key in so many parts.
-BROADCAST_BYTES, SALTS = 32 << 20, 16
+#: Keys with more suspects than this are hot and are broadcast; of a large corpus, those with more than one in so many of all suspects.
+HOT, MOST_HOT = 1 << 16, 200_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,10 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh64_intdigest(key)
 
 
+def _digest(key: bytes) -> bytes:
+    return hashlib.sha256(key).digest()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +131,7 @@ def twice_filter(entries: DataFrame, p: LineDedup) -> np.ndarray:
 
 
 def _suspects(rows: DataFrame, twice: np.ndarray, p: LineDedup) -> DataFrame:
-    """id, t, key of the lines whose hash the filter holds, each key once for each row."""
+    """id, t, key, digest of the lines whose hash the filter holds, each key once for each row."""
     shared = rows.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,22 +147,27 @@ def _suspects(rows: DataFrame, twice: np.ndarray, p: LineDedup) -> DataFrame:
             mask = _mask(h)
             held = np.flatnonzero((words[h % np.uint64(len(words))] & mask) == mask)
             owner = pa.array(np.array(owners, dtype=np.int64)[held])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("t").take(owner), pa.array([keys[i] for i in held], pa.binary())], ["id", "t", "key"])
+            suspected = [keys[i] for i in held]
+            digests = pa.array([_digest(k) for k in suspected], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("t").take(owner), pa.array(suspected, pa.binary()), digests], ["id", "t", "key", "digest"])
 
-    return rows.mapInArrow(run, "id long, t long, key binary")
+    return rows.mapInArrow(run, "id long, t long, key binary, digest binary")
 
 
 def _dropped(suspects: DataFrame) -> DataFrame:
-    """id, t, key of the lines that go: their key is in several documents, and theirs is not the first."""
-    held = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("nameless"))
-    confirmed = materialise(held.where("first <> last OR (nameless AND first IS NOT NULL)").select("key", "first"), "lines-confirmed")
-    size = confirmed.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).head()[0]
-    if size <= BROADCAST_BYTES:
-        met = suspects.join(F.broadcast(confirmed), "key")
-    else:
-        parts = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = suspects.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int")).join(parts, ["key", "salt"])
-    return met.where("id IS NULL OR id <> first").select("id", "t", "key")
+    """id, t, digest of the lines that go: their key is in several documents, and theirs is not the first.
+
+    Keys are compared as they are; from there on their digests stand for them. Hot keys, of which there are at most MOST_HOT
+    in any corpus, are broadcast, so no task gets all their rows.
+    """
+    held = suspects.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("n"))
+    confirmed = materialise(held.where("first <> last OR (nameless AND first IS NOT NULL)").select("digest", "first", "n"), "lines-confirmed")
+    hot = F.col("n") > max(HOT, suspects.count() // MOST_HOT)
+    first = F.broadcast(confirmed.where(hot).select("digest", F.col("first").alias("hot_first")))
+    narrow = suspects.select("id", "t", "digest").join(first, "digest", "left")
+    rest = narrow.where("hot_first IS NULL").join(confirmed.where(~hot).select("digest", "first"), "digest")
+    met = rest.select("id", "t", "digest", "first").unionByName(narrow.where("hot_first IS NOT NULL").select("id", "t", "digest", F.col("hot_first").alias("first")))
+    return met.where("id IS NULL OR id <> first").select("id", "t", "digest")
 
 
 def _without(rows: DataFrame, p: LineDedup) -> DataFrame:
@@ -169,7 +179,7 @@ def _without(rows: DataFrame, p: LineDedup) -> DataFrame:
                 lines.append(len(every))
                 if gone:
                     away = set(gone)
-                    rest = [line for line, key in zip(every, keys_of(text, p.least_points)) if key not in away]
+                    rest = [line for line, key in zip(every, keys_of(text, p.least_points)) if key is None or _digest(key) not in away]
                     dropped.append(len(every) - len(rest))
                     text = b"\n".join(rest)
                 else:
@@ -188,7 +198,7 @@ def line_dedup(docs: DataFrame, p: LineDedup = LineDedup(), id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
     twice = twice_filter(materialise(_entries(rows, p), "lines-hashes"), p)
     suspects = materialise(_suspects(rows, twice, p), "lines-suspects")
-    gone = _dropped(suspects).groupBy("id", "t").agg(F.collect_set("key").alias("gone"))
+    gone = _dropped(suspects).groupBy("id", "t").agg(F.collect_set("digest").alias("gone"))
     both = rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.t") == F.col("g.t")), "left").select("r.id", "r.text", "g.gone")
     return _without(both, p).select("id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("text"))
 
