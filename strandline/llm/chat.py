@@ -41,6 +41,8 @@ from strandline.llm.common import held, materialise, table
 
 #: Turns of a block, within which running values are found by a window.
 BLOCK = 4096
+#: Bytes of conversation ids up to which they are broadcast, and what one takes there.
+BROADCAST_BYTES, CONV_BYTES = 32 << 20, 48
 #: One quote mark: each match begins where the one before ends, so that a line may have any number of marks.
 MARK = r"\G(?:^\s*)?>\s?"
 #: A line that only introduces a quote.
@@ -52,7 +54,7 @@ def normalised(text: Column) -> Column:
 
 
 def _hash(text: Column) -> Column:
-    return F.sha2(normalised(text), 256)
+    return F.unhex(F.sha2(normalised(text), 256))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -91,11 +93,13 @@ def _keys(text: Column) -> Column:
 
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, level, quote (number), original (turn of the linked message or null); one row per quoted passage."""
-    own = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(_keys(F.col("own_text"))).alias("key"))
-    originals = own.groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     quotes = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL AND size(quotes) > 0").select("conv_id", "turn", F.posexplode("quotes").alias("quote", "q"))
     keyed = quotes.select("conv_id", "turn", "quote", "q.level", _hash(F.col("q.text")).alias("whole"), F.explode_outer(_keys(F.col("q.text"))).alias("key"))
-    # Only conversations with quotes send their originals on.
+    # Only messages of conversations with quotes are taken apart and sent on.
+    quoting = materialise(quotes.select("conv_id").distinct(), "chat-quoting")
+    quoting = F.broadcast(quoting) if quoting.count() * CONV_BYTES <= BROADCAST_BYTES else quoting
+    own = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_keys(F.col("own_text"))).alias("key"))
+    originals = own.groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     found = keyed.join(originals, ["conv_id", "key"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     votes = found.groupBy("conv_id", "turn", "quote", "level", "original").agg(F.max((F.col("key") == F.col("whole")).cast("int")).alias("whole"), F.count("key").alias("lines"))
     order = F.struct(F.col("original").isNotNull().alias("a"), F.coalesce("whole", F.lit(0)).alias("w"), F.col("lines"), F.col("original"))

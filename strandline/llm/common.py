@@ -1,42 +1,18 @@
-"""Helpers shared by the training-data operators: table access and the shared folder."""
+"""Helpers shared by the training-data operators: table access, order, and the shared folder of the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.shared import bounded_batches, clear_shared, materialise, shared_folder  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (local tests) is a temporary folder of
-    this machine taken, and only if the master is local.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = spark.conf.get("strandline.local.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("strandline.local.dir", root)
-    return f"{root.rstrip('/')}/strandline/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_order(df: DataFrame, order: Column, name: str, text_col: str = "text") -> DataFrame:
     """df, written and read back, with distinct numbers that grow in the order.
 
@@ -56,22 +32,3 @@ def held(*columns: Column) -> list[Column]:
     """
     always = F.monotonically_increasing_id() >= 0
     return [F.when(always, c) for c in columns]
-
-
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Bound the bytes of an Arrow batch, unless the session already states a bound.
-
-    Batches are counted in rows by default, and rows here are whole documents.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get("strandline.arrow.bound", None) is None:
-        spark.conf.set(key, str(megabytes << 20))
-        spark.conf.set("strandline.arrow.bound", "set")
-
-
-def clear_shared(spark: SparkSession) -> None:
-    """Delete what the operators wrote to the shared folder, once no result that reads it is needed."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strandline.local.dir", None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/strandline")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,6 @@
 """Exact deduplication through a log-structured merge index of digests.
 
-Every input split is a memtable: its rows are reduced to (digest, id), sorted
+Documents come in batches, and every split of a batch is a memtable: its rows are reduced to (digest, id), sorted
 by digest and flushed as one run, a Parquet file with a bloom filter on the
 digest. Compaction merges the runs flushed since the last one into a sorted level
 that has, for each digest, the identifier that stays and the number of rows. The
@@ -173,16 +173,20 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "smallest",
     digest: Callable[[Column], Column] = sha256_digest,
+    batches: int = 3,
+    index: DigestIndex | None = None,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, digest.
 
     kept holds for the row whose id is keep_id; if that id itself is repeated
-    with the same text, all of its rows carry kept = true.
+    with the same text, all of its rows carry kept = true. The rows come to the index in `batches` parts by
+    their ids, as a corpus does that grows: from the second on, each probes the filter of the level and is merged into it. An empty index may be given.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, shared_folder(spark, "exact-dedup"), keep, digest)
-    index.flush(docs, id_col, text_col)
-    index.compact()
+    index = index or DigestIndex(spark, shared_folder(spark, "exact-dedup"), keep, digest)
+    for k in range(batches):
+        index.flush(docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)) == k), id_col, text_col)
+        index.compact()
     found = index.runs().join(index.hits(), "digest", "left").select(
         "digest", "id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n")
     )
