@@ -58,7 +58,8 @@ def pair_by_species(msa: DataFrame, most_per_species: int = 600) -> DataFrame:
     """
     sizes = msa.where("species <> ''").groupBy("species", "query").agg(F.count(F.lit(1)).alias("n"))
     common = sizes.groupBy("species").agg(F.count(F.lit(1)).alias("chains"), F.least(F.min("n"), F.lit(most_per_species)).alias("take")).where("chains >= 2")
-    numbered = msa.withColumn("nth", F.row_number().over(W.partitionBy("species", "query").orderBy("row")))
+    # The literal bound is a group limit before the shuffle: no task gets more rows of a species than may be taken from each split.
+    numbered = msa.where("species <> ''").select("species", "query", "row").withColumn("nth", F.row_number().over(W.partitionBy("species", "query").orderBy("row"))).where(F.col("nth") <= most_per_species)
     return numbered.join(common, "species").where("nth <= take").select("species", "nth", "query", "row", "chains")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.kernels import typed
 from strandline.operators.spatial import AXES, grid_pairs
+from strandline.shared import materialise
 
 PURINES, PYRIMIDINES = ("A", "G", "DA", "DG"), ("C", "U", "DC", "DT")
 
@@ -87,10 +88,17 @@ def merge_copies(bonds: DataFrame, counts: DataFrame, ends: list[str]) -> DataFr
 
 
 def entity_copies(entities: DataFrame, chain_name) -> DataFrame:
-    """One row for each copy of an entity (entity, n), numbered and named over all copies in order of entities."""
-    before = F.coalesce(F.sum("n").over(W.orderBy("entity").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = entities.withColumn("_before", before).withColumn("copy", F.explode(F.expr("sequence(1L, CAST(n AS BIGINT))")))
-    return rows.withColumn("chain", chain_name(F.col("_before") + F.col("copy"))).drop("_before")
+    """One row for each copy of an entity (entity, n), numbered and named over all copies in order of entities.
+
+    The copies before an entity are summed by parts of the sorted table, so no task holds all entities.
+    """
+    placed = materialise(entities.orderBy("entity").withColumn("_part", F.spark_partition_id()), "entities")
+    sums = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
+    earlier = sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("_part").orderBy("entity").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = placed.withColumn("_inside", inside).join(F.broadcast(earlier), "_part")  # one row for each part
+    rows = rows.where("n > 0").withColumn("_before", F.col("_inside") + F.col("_earlier")).withColumn("copy", F.explode(F.expr("sequence(1L, CAST(n AS BIGINT))")))
+    return rows.withColumn("chain", chain_name(F.col("_before") + F.col("copy"))).drop("_part", "_inside", "_earlier", "_before")
 
 
 def _minus(a: str, b: str) -> list[Column]:

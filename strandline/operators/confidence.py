@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.shared import materialise
+
 
 def ranking_score(iptm: Column, ptm: Column, has_clash: Column, disorder: Column | None = None) -> Column:
     disorder = F.lit(0.0) if disorder is None else disorder
@@ -17,25 +23,82 @@ def ranked(samples: DataFrame, score: str, within: list[str], tie: str) -> DataF
     return samples.withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(F.desc(score), tie)) - 1)
 
 
+#: Rows of a value range that are sorted in one task, and ranges that an open one is split into.
+SORTED_ROWS, RANGES = 100_000, 4096
+#: Bytes of open ranges up to which they are broadcast, and what one takes there.
+BROADCAST_BYTES, RANGE_BYTES = 32 << 20, 128
+
+
+def _meet(data: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """The rows within the ranges (by, lo, hi) of their group, each with its range."""
+    ranges = ranges.select(*[F.col(c).alias(f"_{c}") for c in by], "lo", "hi").distinct()
+    if ranges.count() * RANGE_BYTES <= BROADCAST_BYTES:
+        ranges = F.broadcast(ranges)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return data.join(ranges, reduce(and_, [*same, F.col("_v").between(F.col("lo"), F.col("hi"))])).drop(*[f"_{c}" for c in by])
+
+
+def _both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equal keys, nulls among them; the columns of left and the further ones of right."""
+    right = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
+    return left.join(right, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])).drop(*[f"_{c}" for c in keys])
+
+
+def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by, n, and for each name the value whose place in ascending order, from 1, its function gives for n rows.
+
+    No group has to fit a task. The range of a group's values is cut into RANGES; their rows are counted, combined before the shuffle, and
+    only the range that holds the wanted place is looked at again, until it has one value, or few enough rows to be
+    sorted. Rows with a null or NaN value are left out; a null group is a group. Values are doubles.
+    """
+    data = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    groups = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()])
+    targets = materialise(groups.select(*by, "n", "lo", "hi", F.inline(wanted)).withColumn("count", F.col("n")), "ranks")
+    found = []
+    while True:
+        found.append(targets.where("lo = hi").select(*by, "n", "name", F.col("lo").alias("value")))
+        few = targets.where((F.col("lo") < F.col("hi")) & (F.col("count") <= SORTED_ROWS))
+        place = F.row_number().over(W.partitionBy(*by, "lo", "hi").orderBy("_v"))
+        sorted_ = _meet(data, few, by).withColumn("rank", place).select(*by, "lo", "hi", "rank", F.col("_v").alias("value"))
+        found.append(_both(few, sorted_, [*by, "lo", "hi", "rank"]).select(*by, "n", "name", "value"))
+        open_ = targets.where((F.col("lo") < F.col("hi")) & (F.col("count") > SORTED_ROWS))
+        if open_.isEmpty():
+            break
+        part = F.least(F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * RANGES), F.lit(RANGES - 1))
+        counts = _meet(data, open_, by).groupBy(*by, "lo", "hi", part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        upto = F.sum("rows").over(W.partitionBy(*by, "lo", "hi").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+        counts = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("rows"))
+        narrowed = _both(open_, counts, [*by, "lo", "hi"]).where("rank > before AND rank <= upto")
+        targets = materialise(narrowed.select(*by, "n", F.col("low").alias("lo"), F.col("high").alias("hi"), "name", (F.col("rank") - F.col("before")).alias("rank"), F.col("rows").alias("count")), "ranks")
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks])
+
+
 def sample_aggregate(scores: DataFrame, by: list[str], value: str = "value", order: str = "seed") -> DataFrame:
     """best, worst, first, mean and upper median (element n // 2 of the descending order), and the differences from the best.
 
-    The ordinal comes from a window, so no group is collected.
+    The median is selected by counts of value ranges, so no group has to fit a task. Rows without a value are left out.
     """
-    w = W.partitionBy(*by)
-    rows = scores.withColumn("_r", F.row_number().over(w.orderBy(F.desc(value), order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    out = rows.groupBy(*by).agg(
-        F.max(value).alias("best"), F.min(value).alias("worst"), F.min(F.struct(order, value)).alias("_f"), F.avg(value).alias("mean"),
-        F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("median"), F.count(F.lit(1)).alias("n"),
-    )
-    first = F.col(f"_f.{value}")
+    median = order_statistics(scores, by, value, {"median": lambda n: n - F.floor(n / 2)}).select(*by, "median")
+    out = scores.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.max(value).alias("best"), F.min(value).alias("worst"), F.min(F.struct(order, value)).alias("_f"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    out, first = _both(out, median, by), F.col(f"_f.{value}")
     return out.select(*by, "n", "best", "worst", first.alias("random"), "mean", "median", (F.col("best") - F.col("worst")).alias("best_worst"), (F.col("best") - first).alias("best_random"), (F.col("best") - F.col("median")).alias("best_median"))
 
 
 def metric_percentiles(scores: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Mean, median, 90th and 99th percentile (interpolated), extremes."""
-    p = lambda q: F.percentile(value, q)
-    return scores.groupBy(*by).agg(F.avg(value).alias("avg"), p(0.5).alias("median"), p(0.9).alias("pct90"), p(0.99).alias("pct99"), F.max(value).alias("max"), F.min(value).alias("min"))
+    """Mean, median, 90th and 99th percentile (interpolated between the two places around), extremes."""
+    shares = {"median": 0.5, "pct90": 0.9, "pct99": 0.99}
+    ranks = {f"{name}_{side}": (lambda n, p=p, up=up: (F.ceil if up else F.floor)((n - 1) * p) + 1) for name, p in shares.items() for side, up in (("lo", False), ("hi", True))}
+    places = order_statistics(scores, by, value, ranks)
+
+    def between(name: str, p: float) -> Column:
+        at = (F.col("n") - 1) * p
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name)
+
+    plain = scores.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"))
+    return _both(plain, places.select(*by, *[between(name, p) for name, p in shares.items()]), by).select(*by, "avg", *shares, "max", "min")
 
 
 def tm_scale(n: Column) -> Column:

@@ -382,7 +382,7 @@ def spatial_crop_topk(spark, sf_dir):
 @query(
     "WITH "
     + PAIRS.strip()
-    + """, two AS (SELECT pdb_id, i, j, d FROM v_pairs WHERE d < 8 UNION ALL SELECT pdb_id, j, i, d FROM v_pairs WHERE d < 8)
+    + """, two AS (SELECT pdb_id, i, j, d FROM v_pairs UNION ALL SELECT pdb_id, j, i, d FROM v_pairs)
 SELECT pdb_id, i, j, row_number() OVER (PARTITION BY pdb_id, i ORDER BY round(d, 9), j) AS rank, round(d, 6) AS d FROM two QUALIFY rank <= 2"""
 )
 def knn_frame(spark, sf_dir):

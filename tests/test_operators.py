@@ -101,7 +101,7 @@ def test_row_numbers_are_global(spark):
 
 def test_draws_follow_weights(spark):
     df = spark.createDataFrame([(i, float(i % 2 * 3 + 1)) for i in range(100)], "k long, w double")
-    draws = sampling.weighted_draws(df, "w", 4000, "k", buckets=16).collect()
+    draws = sampling.weighted_draws(df, "w", 4000, "k", block=16).collect()
     assert len(draws) == 4000
     assert abs(sum(r["k"] % 2 for r in draws) / 4000 - 0.8) < 0.05
     top = sampling.weighted_sample(df.where("k < 2"), "w", 5, ["k"]).count()
