@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
@@ -13,7 +10,8 @@ from strandline.plans import views
 from strandline.plans.catalogue import _CODE, query, r6
 from strandline.plans.more import FRAME, _fours
 from strandline.plans.views import ATOMS, INDEX, MSA, PAIRS, table
-from strandline.sources import text_formats
+from strandline.shared import shared_folder
+from strandline.sources import mmcif, text_formats
 
 
 def r5(*names: str):
@@ -24,16 +22,6 @@ def draw_sql(key: str, purpose: str) -> str:
     return f"((('0x' || substr(md5({key}::VARCHAR || ':{purpose}'), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
 
 
-def shared_folder(spark, purpose: str) -> str:
-    """A fresh folder below the one that the cluster names; a temporary one only where none is named, in a local session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="strandline-")
-    return f"{root.rstrip('/')}/strandline/{purpose}-{uuid.uuid4().hex}"
-
-
 # --- substructures ---
 
 
@@ -325,10 +313,9 @@ def a3m_file(spark, sf_dir):
 
 @query("WITH " + ATOMS.strip() + " SELECT atom_idx, chain_id::VARCHAR AS chain_id, res_id::INT AS res_id, res_name, atom_name, printf('%.3f', x)::DOUBLE AS x FROM v_atoms")
 def mmcif_file(spark, sf_dir):
-    """Structures written as mmCIF, one file each, and read by the data source."""
+    """Structures written as mmCIF, one file each, listed and read by Spark."""
     path = shared_folder(spark, "cif")
     atoms = views.atoms(spark, sf_dir).withColumn("element", F.substring("atom_name", 1, 1))
     text_formats.cif_of(atoms).write.partitionBy("pdb_id").text(path)
-    files = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path").collect()]
-    columns = ["id", "label_asym_id", "label_entity_id", "label_seq_id", "label_comp_id", "label_atom_id", "type_symbol", "label_alt_id", "occupancy", "Cartn_x", "Cartn_y", "Cartn_z"]
-    return text_formats.atoms_of(text_formats.read_mmcif(spark, files, columns=columns)).select("atom_idx", "chain_id", "res_id", "res_name", "atom_name", "x")
+    sites = mmcif.tables(spark, path, {"atom_site": ["id", "label_asym_id", "label_entity_id", "label_seq_id", "label_comp_id", "label_atom_id", "type_symbol", "label_alt_id", "occupancy", "Cartn_x", "Cartn_y", "Cartn_z"]}, glob="*.txt")["atom_site"]
+    return text_formats.atoms_of(sites).select("atom_idx", "chain_id", "res_id", "res_name", "atom_name", "x")
