@@ -241,3 +241,40 @@ def modified_clusters(spark, sf_dir):
     ).distinct()
     residues = items.select(F.col("l_orderkey").alias("pdb_id"), F.lit("A").alias("chain_id"), F.concat(F.lit("X"), s % 4).alias("res_name"))
     return features.cluster_ids(rows, residues, {"modified_prot": ("X0", "X1"), "modified_dna": (), "modified_rna": ()}).select("pdb_id", "row_no", "cluster_1_id", "cluster_id")
+
+
+# --- jobs from structures ---
+
+_ENTITY = ("1", "1", "2", "10", "10", "3", "4", "1")
+_RESIDUES = {"1": ("ALA", "GLY", "MSE", "SER"), "2": ("DA", "DC", "DG", "DT"), "3": ("DA", "DC", "A", "U"), "10": ("NAG", "FUC", "NAG", "BMA"), "4": ("ATP", "ATP", "HEM", "ATP")}
+_TYPES = {"1": "polypeptide(L)", "2": "polydeoxyribonucleotide", "3": "polydeoxyribonucleotide/polyribonucleotide hybrid"}
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT vec_id // 64 AS k FROM embeddings WHERE vec_id % 64 = 63),
+e AS (SELECT * FROM (VALUES (1, 'proteinChain', 'AGXS', 3, '3:CCD_MSE'), (2, 'ligand', 'CCD_NAG_FUC_NAG_BMA', 2, NULL), (3, 'dnaSequence', 'ACGT', 1, NULL), (4, 'ligand', 'CCD_ATP_ATP_HEM_ATP', 1, NULL)) t(entity, kind, value, n, modified))
+SELECT k::VARCHAR AS name, e.*, '1.1.CA.1-2.1.CA.1;1.1.CA.2-2.1.CA.2;3.1.CA.-4.1.CA.' AS bonds FROM s CROSS JOIN e"""
+)
+def structure_jobs(spark, sf_dir):
+    """Complexes of eight chains as jobs in JSON, and these parsed again: a hybrid is left out, a bond of all copies has no copy."""
+    from strandline.operators import structure_jobs as J
+
+    v = F.col("vec_id")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), (i + 1).cast("int"))
+    whole = table(spark, sf_dir, "embeddings").where("vec_id % 64 = 63").select(F.floor(v / 64).alias("pdb_id"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("pdb_id", F.floor(v / 64)).join(whole, "pdb_id", "left_semi")
+    entity, token = pick(_ENTITY, v % 8), F.floor(v % 64 / 8)
+    name = F.coalesce(*[F.when(entity == e, pick(r, F.floor(token / 2))) for e, r in _RESIDUES.items()])
+    atoms = vectors.select("pdb_id", (v % 8 * 8 + token).alias("atom_idx"), (v % 8).cast("string").alias("chain_id"), entity.alias("entity_id"), (F.floor(token / 2) + 1).alias("res_id"), name.alias("res_name"), F.when(token % 2 == 0, "CA").otherwise("CB").alias("atom_name"))
+    structures = atoms.select("pdb_id").distinct()
+    listed = lambda rows, names: structures.select("pdb_id", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
+    polymers = listed(list(_TYPES.items()), ("entity_id", "poly_type"))
+    residues = listed([(e, i, r) for e in _TYPES for i, r in enumerate(_RESIDUES[e], 1)], ("entity_id", "pos", "res_name"))
+    bonds = listed([(0, 24), (8, 32), (16, 48), (0, 1), (0, 2), (24, 26 - 1)], ("i", "j"))
+    letters = spark.createDataFrame([("ALA", "A"), ("GLY", "G"), ("SER", "S"), ("DA", "A"), ("DC", "C"), ("DG", "G"), ("DT", "T")], "res_name string, letter string")
+    job = J.job_entities(atoms, polymers, residues, letters, ("ALA", "GLY", "SER", "DA", "DC", "DG", "DT", "A", "U"))
+    parsed = jobs.parse_jobs(J.job_texts(job, J.ligand_bonds(job, atoms, bonds)))
+    end = lambda b, k: F.concat_ws(".", b[f"entity{k}"], b[f"position{k}"], b[f"atom{k}"], F.coalesce(b[f"copy{k}"].cast("string"), F.lit("")))
+    linked = parsed.select("job.name", F.array_join(F.transform("job.covalent_bonds", lambda b: F.concat_ws("-", end(b, 1), end(b, 2))), ";").alias("bonds"))
+    modified = job.select(F.col("pdb_id").cast("string").alias("name"), "entity", F.array_join(F.transform("modifications", lambda m: F.concat_ws(":", m["position"], m["code"])), ";").alias("modified"))
+    return jobs.entities(parsed).join(linked, "name").join(modified, ["name", "entity"]).select("name", "entity", "kind", "value", "n", "modified", "bonds")
