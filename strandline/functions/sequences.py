@@ -47,15 +47,26 @@ def has_deletion(d: Column) -> Column:
     return F.least(F.greatest(d, F.lit(0)), F.lit(1))
 
 
+# UniProt's own rule for accession numbers, and the lengths that it gives for the two halves of an entry name
+# (uniprot.org, help pages "accession_numbers" and "entry_name"; headers by "fasta-headers").
+ACCESSION = "[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2}"
+PROTEIN_LENGTH, SPECIES_LENGTH = 10, 5
+
+
 def species(description: Column) -> Column:
-    """Species of a UniProt or UniRef100 description, else the empty string."""
-    # UniProt: database|accession|name_species; a cluster member: UniRef100_accession_taxon/range.
-    bars, words = F.split(description, r"\|"), F.split(description, "_")
-    entry = F.split(F.get(bars, 2), "_")
-    known = F.get(bars, 0).isin("tr", "sp") & F.get(bars, 1).rlike(r"^[A-Z0-9]{6,10}(_\d+)?$") & F.get(entry, 0).rlike("^[A-Z0-9]{1,10}$")
-    mnemonic = F.regexp_extract(F.get(entry, 1), "^[A-Z0-9]{1,5}", 0)
+    """Species of a UniProt or UniRef100 description, else the empty string.
+
+    UniProt: database|accession|protein_SPECIES, in which the accession may have a numbered copy behind an underscore; a
+    cluster member: UniRef100_accession_taxon/range.
+    """
+    fields, words = F.split(description, r"\|"), F.split(description, "_")
+    accession = F.substring_index(F.get(fields, 1), "_", 1)
+    protein, organism = F.substring_index(F.get(fields, 2), "_", 1), F.get(F.split(F.get(fields, 2), "_"), 1)
+    mnemonic = F.regexp_extract(organism, "^[A-Z0-9]+", 0)
+    numbered = F.regexp_replace(F.get(fields, 1), "_[0-9]+$", "") == accession
+    entry = F.get(fields, 0).isin("sp", "tr") & accession.rlike(f"^(?:{ACCESSION})$") & numbered & protein.rlike("^[A-Z0-9]+$") & (F.length(protein) <= PROTEIN_LENGTH)
     taxon = F.when((F.get(words, 0) == "UniRef100") & (F.get(words, 1) != ""), F.substring_index(F.get(words, 2), "/", 1))
-    return F.coalesce(F.when(known & (mnemonic != ""), mnemonic), taxon, F.lit(""))
+    return F.coalesce(F.when(entry & (mnemonic != ""), F.left(mnemonic, F.lit(SPECIES_LENGTH))), taxon, F.lit(""))
 
 
 def hit_indices(seq: Column, start: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import bonds
+from strandline.operators import bonds, reference_chains
 from strandline.plans.catalogue import query
 from strandline.plans.views import table
 from strandline.shared import shared_folder
@@ -71,3 +71,23 @@ def structure_bonds(spark, sf_dir):
         site = atoms.select("pdb_id", F.col("atom_idx").alias(end), (F.col("site_id") - 65).alias(f"_{end}"))
         found = found.join(site, ["pdb_id", end]).drop(end).withColumnRenamed(f"_{end}", end)
     return found.select(F.regexp_extract("pdb_id", "file=([^/]+)/", 1).alias("structure"), "i", "j", F.round("d", 5).alias("d"), "kind", "order")
+
+
+@query(
+    "WITH "
+    + _SITES.strip()
+    + """, k AS (SELECT a.s FROM v_sites a JOIN v_sites b ON a.s = b.s WHERE a.c = 1 AND a.r = 2 AND a.a = 'N' AND b.c = 1 AND b.r = 1 AND b.a = 'CA' AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 2.4)
+SELECT s::VARCHAR AS structure, e::VARCHAR AS entity_id, r, a AS atom_name FROM (SELECT DISTINCT s FROM v_sites) CROSS JOIN (SELECT unnest([1, 2, 3]) AS e) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS r) CROSS JOIN (SELECT unnest(['N', 'CA', 'C', 'O', 'OXT']) AS a)
+WHERE a <> 'OXT' OR r = 4 OR (e = 2 AND r = 1 AND s IN (SELECT s FROM k))"""
+)
+def reference_atoms(spark, sf_dir):
+    """Reference chains of the files above: a C that is linked loses OXT, but not where a connection takes the link's place."""
+    atoms, found = bonds.structure_bonds(mmcif.tables(spark, cif_files(spark, sf_dir), glob="*.txt"), model=1)
+    structures = atoms.select("pdb_id").distinct()
+    residues = structures.select("pdb_id", F.explode(F.array(*[F.lit(str(e)) for e in (1, 2, 3)])).alias("entity_id")).withColumn("res_id", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("res_name", F.lit("ALA"))
+    names = [*_NAMES, "OXT"]
+    comp_atoms = spark.createDataFrame([("ALA", i, a, a == "OXT") for i, a in enumerate(names)], "res_name string, pos long, atom_name string, leaving boolean")
+    comp_bonds = spark.createDataFrame([("ALA", a, b) for a, b in (("N", "CA"), ("CA", "C"), ("C", "O"), ("C", "OXT"))], "res_name string, a string, b string")
+    types = spark.createDataFrame([("ALA", "protein")], "res_name string, type string")
+    kept, _ = reference_chains.reference_chains(residues, comp_atoms, comp_bonds, types, atoms, found)
+    return kept.select(F.regexp_extract("pdb_id", "file=([^/]+)/", 1).alias("structure"), "entity_id", F.col("res_id").alias("r"), "atom_name")
