@@ -187,7 +187,10 @@ def judge(
     """One row per input row: id, host, path, rule, verdict, block_probability.
 
     labels: columns url, blocked (boolean) to learn from; by default the rows'
-    own rules and marked words.
+    own rules and marked words. These name only some of what is to be blocked, so a row that they don't name is
+    unlabelled, not harmless: the trees learn the chance of being named, and that of being blocked is this chance over its mean
+    among named rows (positive and unlabelled learning, Elkan and Noto 2008). Each URL is judged by trees and statistics
+    of the other folds, so none is judged by its own label; two labels of one URL both count.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -226,17 +229,27 @@ def judge(
 
     million = 1_000_000
     sample = learned.where(F.pmod(F.xxhash64("id", "url", F.lit(9)), F.lit(million)) < min(million, -(-million * p.sample_rows // max(1, total["n"]))))
-    got = _featured(with_statistics(sample), ["blocked"])[0].toArrow()
+    got = _featured(with_statistics(sample), ["blocked", "fold"])[0].toArrow()
     x = np.array(got.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    trees = spark.sparkContext.broadcast(Trees(p).fit(x, np.array(got.column("blocked").to_pylist(), dtype=float)))
+    y, fold = np.array(got.column("blocked").to_pylist(), dtype=float), got.column("fold").to_numpy()
+    models = [Trees(p).fit(x[fold != k], y[fold != k]) for k in range(p.folds)]
+    # Of labels that name only some of what is to be blocked: the chance that such a URL is named, by trees that have not seen it.
+    seen = 1.0
+    if labels is None and y.any():
+        seen = float(np.concatenate([m.probability(x[(fold == k) & (y == 1)]) for k, m in enumerate(models)]).mean())
+    trees = spark.sparkContext.broadcast((models, max(seen, 1e-6)))
 
     keep = ["id", "host", "path", "rule", "by_rule"]
     scored = with_statistics(rows)
     schema = T.StructType([scored.schema[c] for c in keep] + [T.StructField("block_probability", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, seen = trees.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(trees.value.probability(_matrix(batch)))], names=[*keep, "block_probability"])
+            x, fold, named = _matrix(batch), batch.column("fold").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            for k, model in enumerate(models):
+                named[fold == k] = model.probability(x[fold == k])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.minimum(named / seen, 1.0))], names=[*keep, "block_probability"])
 
     found = scored.mapInArrow(run, schema)
     verdict = F.coalesce("by_rule", F.when(F.col("block_probability") >= p.threshold, "block").otherwise("allow"))
