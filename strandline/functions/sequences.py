@@ -47,10 +47,14 @@ def has_deletion(d: Column) -> Column:
     return F.least(F.greatest(d, F.lit(0)), F.lit(1))
 
 
-# UniProt's own rule for accession numbers, and the lengths that it gives for the two halves of an entry name
-# (uniprot.org, help pages "accession_numbers" and "entry_name"; headers by "fasta-headers").
-ACCESSION = "[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2}"
-PROTEIN_LENGTH, SPECIES_LENGTH = 10, 5
+# The least and greatest length of a UniProt accession, and the lengths of the two halves of an entry name
+# (uniprot.org, help pages "accession_numbers" and "entry_name"; headers by "fasta-headers"). Letters are capitals.
+ACCESSION_LENGTHS, PROTEIN_LENGTH, SPECIES_LENGTH = (6, 10), 10, 5
+
+
+def _code(text: Column, least: int, most: int) -> Column:
+    """Whether the text is capitals and digits alone, of such a length."""
+    return F.length(text).between(least, most) & (F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "") == "")
 
 
 def species(description: Column) -> Column:
@@ -64,7 +68,7 @@ def species(description: Column) -> Column:
     protein, organism = F.substring_index(F.get(fields, 2), "_", 1), F.get(F.split(F.get(fields, 2), "_"), 1)
     mnemonic = F.regexp_extract(organism, "^[A-Z0-9]+", 0)
     numbered = F.regexp_replace(F.get(fields, 1), "_[0-9]+$", "") == accession
-    entry = F.get(fields, 0).isin("sp", "tr") & accession.rlike(f"^(?:{ACCESSION})$") & numbered & protein.rlike("^[A-Z0-9]+$") & (F.length(protein) <= PROTEIN_LENGTH)
+    entry = F.get(fields, 0).isin("sp", "tr") & _code(accession, *ACCESSION_LENGTHS) & numbered & _code(protein, 1, PROTEIN_LENGTH)
     taxon = F.when((F.get(words, 0) == "UniRef100") & (F.get(words, 1) != ""), F.substring_index(F.get(words, 2), "/", 1))
     return F.coalesce(F.when(entry & (mnemonic != ""), F.left(mnemonic, F.lit(SPECIES_LENGTH))), taxon, F.lit(""))
 
