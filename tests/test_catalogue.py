@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strandline.plans import catalogue, further, matches, more, parts, structures  # noqa: F401
+from strandline.plans import catalogue, conversions, further, matches, more, parts, structures  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
