@@ -98,22 +98,43 @@ def contiguous_crop(tokens: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
 
 def global_alignment(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[str, str]:
-    """Two sequences with gaps, by dynamic programming; of equal scores a pairing is taken before a gap in b, and that before one in a."""
+    """Two sequences with gaps, by dynamic programming; of equal scores a pairing is taken before a gap in b, and that before one in a.
+
+    Rows of scores are computed as vectors: a run of gaps in a is a running maximum once the gaps' cost is taken out. Every
+    sqrt(n)-th row is kept and the rows between are computed again on the way back, so memory grows with m sqrt(n).
+    """
     n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), dtype=np.int64)
-    score[:, 0], score[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
+    left, top = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (a, b))
+    run = np.arange(m + 1, dtype=np.int32) * np.int32(gap)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from the row above it."""
+        out = np.empty_like(row)
+        out[0] = i * gap
+        out[1:] = np.maximum(row[:-1] + np.where(top == left[i - 1], match, mismatch).astype(np.int32), row[1:] + gap)
+        return np.maximum.accumulate(out - run) + run
+
+    block = max(1, int(n**0.5))
+    kept, row = [run], run
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i, j] = max(score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), score[i - 1, j] + gap, score[i, j - 1] + gap)
+        row = below(row, i)
+        if i % block == 0:
+            kept.append(row)
     x, y, i, j = [], [], n, m
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            x.append(a[i]), y.append(b[j])
-        elif i and score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-            x.append(a[i]), y.append("-")
-        else:
-            j -= 1
-            x.append("-"), y.append(b[j])
-    return "".join(x[::-1]), "".join(y[::-1])
+    while i:
+        start = (i - 1) // block * block
+        rows = [kept[start // block]]
+        for k in range(start + 1, i + 1):
+            rows.append(below(rows[-1], k))
+        while i > start:
+            here, above = rows[i - start], rows[i - start - 1]
+            if j and here[j] == above[j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+                i, j = i - 1, j - 1
+                x.append(a[i]), y.append(b[j])
+            elif here[j] == above[j] + gap:
+                i -= 1
+                x.append(a[i]), y.append("-")
+            else:
+                j -= 1
+                x.append("-"), y.append(b[j])
+    return "-" * j + "".join(x[::-1]), b[:j] + "".join(y[::-1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import pdb_entities
+from strandline.operators.template_process import process
 from strandline.plans.catalogue import query
 from strandline.plans.views import table
 
@@ -42,3 +43,47 @@ def pdb_text_entities(spark, sf_dir):
     lines = first.unionByName(models).unionByName(first.withColumn("pos", F.col("pos") + 1000))
     _, made = pdb_entities.inferred(lines)
     return made.select("pdb_id", "asym_id", "entity_id", "turned", F.array_join("names", "_").alias("names"), "poly_type")
+
+
+# --- templates ---
+
+_ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
+_TEMPLATES = f"""
+v_t AS (SELECT vec_id // 32 AS k, CASE WHEN vec_id // 32 % 3 = 0 AND vec_id % 32 >= 16 THEN 'B' ELSE 'A' END AS c, CASE WHEN vec_id // 32 % 3 = 0 THEN vec_id % 16 // 4 ELSE vec_id % 32 // 4 END AS place, ['N', 'CA', 'C', 'CB'][vec_id % 4 + 1] AS a,
+  embedding[1]::DOUBLE * 25 AS x, embedding[2]::DOUBLE * 25 AS y, embedding[3]::DOUBLE * 25 AS z, vec_id % 7 <> 0 AND vec_id // 32 % 11 <> 5 AS seen FROM embeddings),
+v_c AS (SELECT k, c, max(place) + 1 AS len, k % 5 AS off, substr('{_ALPHABET}', (k % 5 + 1)::INT, (max(place) + 1)::INT) AS seq FROM v_t WHERE k % 13 <> 4 GROUP BY k, c),
+v_k AS (SELECT k, CASE WHEN k % 4 <> 3 THEN DATE '1995-01-01' + (k * 100)::INT END AS released, (SELECT count(*) FROM v_c WHERE v_c.k = s.k) AS n FROM (SELECT DISTINCT k FROM v_t) s),
+v_m AS (SELECT k, c, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v_t WHERE seen GROUP BY k, c),
+v_b AS (SELECT DISTINCT k, c FROM (SELECT k, c, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2 + (lead(z) OVER w - z) ** 2) AS d FROM v_t WHERE seen AND a = 'CA' WINDOW w AS (PARTITION BY k, c ORDER BY place)) WHERE d > 9),
+v_h AS (SELECT o_orderkey AS hit, o_custkey % 4 AS q, CASE WHEN o_orderkey % 19 >= 17 THEN o_orderkey % 19 - 17 ELSE o_orderkey % 19 END AS k, ['A', 'B', 'C'][o_custkey % 3 + 1] AS asked, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS p FROM orders),
+v_u AS (SELECT h.*, v_k.released, v_k.n, CASE WHEN own.c IS NOT NULL THEN own.c WHEN v_k.n = 1 THEN one.c END AS c, v_k.k IS NOT NULL AS there FROM v_h h LEFT JOIN v_k USING (k) LEFT JOIN v_c own ON own.k = h.k AND own.c = asked LEFT JOIN v_c one ON one.k = h.k AND v_k.n = 1),
+v_n AS (SELECT k, c, count(*) AS atoms, sum((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS spread FROM v_t JOIN v_m USING (k, c) WHERE seen GROUP BY k, c),
+v_e AS (SELECT u.*, v_c.len, v_c.off, v_c.seq, v_n.atoms, v_n.spread, CASE WHEN NOT there THEN 'load' WHEN n = 0 THEN 'parse' WHEN coalesce(released, DATE '9999-12-31') > DATE '1998-06-01' THEN 'date' WHEN u.c IS NULL THEN 'chain' WHEN q = 3 THEN 'align' WHEN v_b.k IS NOT NULL THEN 'distance' WHEN coalesce(v_n.atoms, 0) < 12 THEN 'atoms' END AS error
+  FROM v_u u LEFT JOIN v_c ON v_c.k = u.k AND v_c.c = u.c LEFT JOIN v_b ON v_b.k = u.k AND v_b.c = u.c LEFT JOIN v_n ON v_n.k = u.k AND v_n.c = u.c)"""
+
+
+@query(
+    "WITH "
+    + _TEMPLATES.strip()
+    + """ SELECT 'q' || q AS query, hit, k AS pdb_id, CASE WHEN error IS NULL THEN c END AS chain_id, error, CASE WHEN error IS NULL THEN len::INT END AS aligned_cols, CASE WHEN error IS NULL THEN repeat('-', off::INT) || seq || repeat('-', (20 - off - len)::INT) END AS sequence,
+  CASE WHEN error IS NULL THEN atoms END AS atoms, CASE WHEN error IS NULL THEN coalesce(p, 0) END AS sum_probs, CASE WHEN error IS NULL THEN round(spread, 3) END AS spread FROM v_e"""
+)
+def template_process(spark, sf_dir):
+    """Orders as hits on structures of 32 vectors: loaded, dated, aligned and placed, each with its error. All letters of a query differ, so its alignment is known."""
+    v, e = F.col("vec_id"), F.col("embedding")
+    k = F.floor(v / 32)
+    halves = k % 3 == 0
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    every = table(spark, sf_dir, "embeddings").select(
+        k.alias("pdb_id"), F.when(halves & (v % 32 >= 16), "B").otherwise("A").alias("chain_id"), F.floor(F.when(halves, v % 16).otherwise(v % 32) / 4).cast("int").alias("place"), F.lit("ALA").alias("res_name"), pick(("N", "CA", "C", "CB"), v % 4).alias("atom_name"),
+        *[(e[i].cast("double") * 25).alias(c) for i, c in enumerate("xyz")], ((v % 7 != 0) & (k % 11 != 5)).alias("_seen"),
+    )
+    p = F.col("pdb_id")
+    structures = every.select(p).distinct().select(p, F.when(p % 4 != 3, F.date_add(F.lit("1995-01-01").cast("date"), (p * 100).cast("int"))).alias("release_date"))
+    seqres = every.where(p % 13 != 4).select("pdb_id", "chain_id", "place").distinct().withColumn("letter", F.substring(F.lit(_ALPHABET), (p % 5 + F.col("place") + 1).cast("int"), F.lit(1)))
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    hits = table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), c % 4).alias("query"), o.alias("hit"), F.when(c % 4 != 3, _ALPHABET).alias("query_seq"), (o % 19).alias("pdb_id"), pick("ABC", c % 3).alias("chain_id"), F.when(o % 5 != 0, F.col("o_totalprice")).alias("sum_probs"))
+    obsolete = table(spark, sf_dir, "nation").where("n_nationkey IN (17, 18)").select(F.col("n_nationkey").alias("pdb_id"), (F.col("n_nationkey") - 17).alias("replaced_by"))
+    results, features = process(hits, structures, seqres, every.where("_seen"), "1998-06-01", obsolete, strict=True, most_step=9.0, least_atoms=12)
+    spread = features.select("query", "hit", F.explode("positions").alias("a")).groupBy("query", "hit").agg(F.round(F.sum(F.pow("a.x", 2) + F.pow("a.y", 2) + F.pow("a.z", 2)), 3).alias("spread"))
+    return results.join(spread, ["query", "hit"], "left").select("query", "hit", "pdb_id", "chain_id", "error", "aligned_cols", "sequence", "atoms", "sum_probs", "spread")
