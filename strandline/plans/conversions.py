@@ -8,6 +8,7 @@ from strandline.operators import pdb_entities
 from strandline.operators.template_process import process
 from strandline.plans.catalogue import query
 from strandline.plans.views import table
+from strandline.streaming import leases
 
 _PDB = """
 l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p FROM lineitem),
@@ -87,3 +88,12 @@ def template_process(spark, sf_dir):
     results, features = process(hits, structures, seqres, every.where("_seen"), "1998-06-01", obsolete, strict=True, most_step=9.0, least_atoms=12)
     spread = features.select("query", "hit", F.explode("positions").alias("a")).groupBy("query", "hit").agg(F.round(F.sum(F.pow("a.x", 2) + F.pow("a.y", 2) + F.pow("a.z", 2)), 3).alias("spread"))
     return results.join(spread, ["query", "hit"], "left").select("query", "hit", "pdb_id", "chain_id", "error", "aligned_cols", "sequence", "atoms", "sum_probs", "spread")
+
+
+# --- streams ---
+
+
+@query("WITH e AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen FROM events) SELECT user_id::VARCHAR AS key, event_id AS id, ts FROM e WHERE seen IS NULL OR ts - seen > INTERVAL 6 HOUR")
+def leased_sightings(spark, sf_dir):
+    """Events of users after a pause of more than six hours; `leases.leased_stream` gives the same rows of a stream."""
+    return leases.leased_batch(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", 6 * 3600)
