@@ -192,3 +192,25 @@ def canonical_names(atoms: DataFrame, letters: DataFrame, standard: dict[str, di
     rows = atoms.join(letters, "res_name", "left")
     name = F.coalesce(F.try_element_at(of, F.concat_ws("/", "mol_type", "letter")), F.try_element_at(other, F.col("mol_type")))
     return rows.withColumn("cano_res_name", F.when(F.col("letter").isNull(), F.try_element_at(other, F.col("mol_type"))).otherwise(name)).drop("letter")
+
+
+def chains_by_entity(atoms: DataFrame) -> DataFrame:
+    """Adds place, from 0: chains by entity as text, those of one entity by atoms, most first, then as they stood; atoms keep their order."""
+    chains = atoms.groupBy("pdb_id", "chain_id").agg(F.min(F.struct("atom_idx", F.col("entity_id").cast("string").alias("e"))).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(W.partitionBy("pdb_id").orderBy("_f.e", F.desc("_n"), "_f.atom_idx"))
+    ranked = chains.select("pdb_id", "chain_id", rank.alias("_rank"), "_n")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("pdb_id").orderBy("_rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("pdb_id", "chain_id").orderBy("atom_idx")) - 1
+    return atoms.join(ranked.select("pdb_id", "chain_id", before.alias("_before")), ["pdb_id", "chain_id"]).withColumn("place", F.col("_before") + within).drop("_before")
+
+
+def polymer_frames(atoms: DataFrame) -> DataFrame:
+    """pdb_id, token, has_frame, frame: the atoms that span a polymer token's frame, N, CA and C of protein, C1', C3' and C4' of nucleic acids.
+
+    atoms: pdb_id, token, mol_type, atom_name, atom_idx. A token that lacks one of the three has no frame, and -1 for each atom.
+    """
+    protein = F.col("mol_type") == "protein"
+    at = lambda a, b: F.min(F.when(F.col("atom_name") == F.when(protein, a).otherwise(b), F.col("atom_idx")))
+    spots = atoms.groupBy("pdb_id", "token").agg(F.array(at("N", "C1'"), at("CA", "C3'"), at("C", "C4'")).alias("_a"))
+    has = ~F.exists("_a", lambda x: x.isNull())
+    return spots.select("pdb_id", "token", has.cast("int").alias("has_frame"), F.when(has, F.col("_a")).otherwise(F.array(*[F.lit(-1).cast("long")] * 3)).alias("frame"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import pdb_entities
+from strandline.operators import pdb_entities, structure
 from strandline.operators.template_process import process
+from strandline.plans import views
 from strandline.plans.catalogue import query
-from strandline.plans.views import table
+from strandline.plans.views import ATOMS, table
 from strandline.streaming import leases
 
 _PDB = """
@@ -97,3 +98,33 @@ def template_process(spark, sf_dir):
 def leased_sightings(spark, sf_dir):
     """Events of users after a pause of more than six hours; `leases.leased_stream` gives the same rows of a stream."""
     return leases.leased_batch(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", 6 * 3600)
+
+
+# --- order and frames ---
+
+
+@query(
+    "WITH "
+    + ATOMS.strip()
+    + """, a AS (SELECT pdb_id, atom_idx, atom_idx % 7 AS c, CASE WHEN atom_idx % 7 < 3 THEN '10' ELSE '9' END AS e FROM v_atoms WHERE atom_idx % 7 <> 2 OR res_id % 2 = 0),
+c AS (SELECT pdb_id, c, min(e) AS e, count(*) AS n, min(atom_idx) AS f FROM a GROUP BY pdb_id, c), r AS (SELECT pdb_id, c, row_number() OVER (PARTITION BY pdb_id ORDER BY e, n DESC, f) AS k FROM c)
+SELECT a.pdb_id, atom_idx, a.c AS chain_id, row_number() OVER (PARTITION BY a.pdb_id ORDER BY k, atom_idx) - 1 AS place FROM a JOIN r USING (pdb_id, c)"""
+)
+def entity_chain_order(spark, sf_dir):
+    i = F.col("atom_idx")
+    atoms = views.atoms(spark, sf_dir).where((i % 7 != 2) | (F.col("res_id") % 2 == 0)).select("pdb_id", "atom_idx", (i % 7).alias("chain_id"), F.when(i % 7 < 3, 10).otherwise(9).alias("entity_id"))
+    return structure.chains_by_entity(atoms).select("pdb_id", "atom_idx", "chain_id", "place")
+
+
+@query(
+    "WITH "
+    + ATOMS.strip()
+    + """, t AS (SELECT res_id // 8 AS pdb_id, res_id AS token, [max(CASE WHEN atom_name = 'N' THEN atom_idx END), max(CASE WHEN atom_name = 'CA' THEN atom_idx END), max(CASE WHEN atom_name = 'C' THEN atom_idx END)] AS a FROM v_atoms WHERE is_resolved GROUP BY ALL)
+SELECT pdb_id, token, (len(list_filter(a, lambda x: x IS NULL)) = 0)::INT AS has_frame, CASE WHEN len(list_filter(a, lambda x: x IS NULL)) = 0 THEN a ELSE [-1, -1, -1]::BIGINT[] END AS frame FROM t"""
+)
+def backbone_frames(spark, sf_dir):
+    """Structures of eight residues; odd residues stand for nucleotides."""
+    odd, name = F.col("res_id") % 2 == 1, F.col("atom_name")
+    named = F.when(odd & (name == "N"), "C1'").when(odd & (name == "CA"), "C3'").when(odd & (name == "C"), "C4'").otherwise(name)
+    atoms = views.atoms(spark, sf_dir).where("is_resolved").select(F.floor(F.col("res_id") / 8).alias("pdb_id"), F.col("res_id").alias("token"), F.when(odd, "rna").otherwise("protein").alias("mol_type"), named.alias("atom_name"), "atom_idx")
+    return structure.polymer_frames(atoms)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandline.operators import entities
+from strandline.operators import entities, structure
 
 
 def components(spark):
@@ -61,3 +61,18 @@ def test_pdb_text_round_trip(spark):
     assert sorted(tuple(r) for r in entities.atoms_of_pdb(lines).collect()) == rows
     with pytest.raises(Exception, match="does not fit"):
         entities.pdb_lines(atoms.replace({"A": "AA"}, subset=["chain_id"])).collect()
+
+
+def test_chains_by_entity(spark):
+    chains = [("A", "2", 2), ("B", "10", 1), ("C", "2", 3), ("D", "2", 2)]
+    rows = [("p", c, e) for c, e, n in chains for _ in range(n)]
+    atoms = spark.createDataFrame([(p, c, e, i) for i, (p, c, e) in enumerate(rows)], "pdb_id string, chain_id string, entity_id string, atom_idx long")
+    got = sorted((r["place"], r["chain_id"], r["atom_idx"]) for r in structure.chains_by_entity(atoms).collect())
+    assert got == [(0, "B", 2), (1, "C", 3), (2, "C", 4), (3, "C", 5), (4, "A", 0), (5, "A", 1), (6, "D", 6), (7, "D", 7)]
+
+
+def test_polymer_frames(spark):
+    rows = [(0, "protein", "C", 2), (0, "protein", "N", 0), (0, "protein", "CA", 1), (1, "protein", "CA", 3), (2, "rna", "C1'", 4), (2, "rna", "C3'", 5), (2, "rna", "C4'", 6), (2, "rna", "N", 7), (3, "dna", "N", 8)]
+    atoms = spark.createDataFrame([("p", *r) for r in rows], "pdb_id string, token int, mol_type string, atom_name string, atom_idx long")
+    got = {r["token"]: (r["has_frame"], r["frame"]) for r in structure.polymer_frames(atoms).collect()}
+    assert got == {0: (1, [0, 1, 2]), 1: (0, [-1] * 3), 2: (1, [4, 5, 6]), 3: (0, [-1] * 3)}
