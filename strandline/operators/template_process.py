@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.functions.sequences import codes
 from strandline.operators.structure import fix_arginine
 from strandline.operators.templates import index_maps
+from strandline.shared import materialise
 
 # The heavy atoms that a protein residue can have, by their place in a residue's row of positions.
 ATOMS = (
@@ -91,6 +92,7 @@ def process(
     template's letters under the query, - where there is none), codes, atoms, sum_probs (null as 0), release_date. error is the first of
     load (no such structure), parse (no protein chain), date (later than latest; told only if strict, a missing date counts as last),
     chain (not there, nor the only one), align (no query), distance (broken chain), atoms (fewer than least_atoms).
+    Hits with their chains, alignments and positions are written once each, as later steps read them several times.
     Features: query, hit, place (in the query), template_place, positions (atom, x, y, z). A hit without a query or structure id has error load.
     """
     used = F.col("pdb_id")
@@ -108,16 +110,16 @@ def process(
     chain = F.when(F.col("_has"), F.col("_asked")).when(F.col("_n") == 1, F.col("_only"))
     late = F.coalesce(F.col("release_date"), F.lit("9999-12-31").cast("date")) > F.lit(latest).cast("date")
     early = F.when(F.col("_there").isNull() | F.col("query").isNull(), "load").when(F.col("_n").isNull(), "parse").when(late, "date").when(F.col("chain_id").isNull(), "chain").when(F.coalesce(F.length("query_seq"), F.lit(0)) == 0, "align")
-    rows = rows.withColumn("chain_id", chain).withColumn("_error", early)
+    rows = materialise(rows.select("query", "hit", "query_seq", "pdb_id", "sum_probs", "release_date", chain.alias("chain_id"), early.alias("_error")), "template-hits")
 
     # One alignment for each query and chain.
     open_hits = rows.where("_error IS NULL")
     keys = ["query", "pdb_id", "chain_id"]
     pairs = open_hits.groupBy(*keys).agg(F.max("query_seq").alias("query_seq")).join(chains, ["pdb_id", "chain_id"])
     found = index_maps(pairs.select("query", F.struct("pdb_id", "chain_id").alias("hit"), "query_seq", F.col("_seq").alias("hit_seq")), 0.0)
-    found = found.select("query", "hit.pdb_id", "hit.chain_id", "mapping").join(pairs.select(*keys, "query_seq", "_seq"), keys)
+    found = materialise(found.select("query", "hit.pdb_id", "hit.chain_id", "mapping").join(pairs.select(*keys, "query_seq", "_seq"), keys), "template-maps")
 
-    positions = chain_positions(atoms.join(open_hits.select("pdb_id", "chain_id").distinct(), ["pdb_id", "chain_id"], "left_semi"), centre)
+    positions = materialise(chain_positions(atoms.join(open_hits.select("pdb_id", "chain_id").distinct(), ["pdb_id", "chain_id"], "left_semi"), centre), "template-positions")
     broken = broken_chains(positions, most_step).withColumn("_broken", F.lit(True))
     residues = positions.groupBy("pdb_id", "chain_id", F.col("place").alias("template_place")).agg(F.sort_array(F.collect_list(F.struct("atom", "x", "y", "z"))).alias("positions"))
     placed = found.select(*keys, F.explode("mapping").alias("place", "template_place")).join(residues, ["pdb_id", "chain_id", "template_place"])
