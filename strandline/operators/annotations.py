@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators import blocks
 from strandline.operators.kernels import typed
 from strandline.operators.spatial import AXES, grid_pairs
 from strandline.shared import materialise
@@ -69,6 +70,22 @@ def equivalence_bounds(pairs: DataFrame, group_i: str, group_j: str, upper: str,
     return rows.join(bounds, [*within, "_lo", "_hi"]).drop("_lo", "_hi")
 
 
+#: Rows of bounds up to which they are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def equivalence_bounds_of_atoms(atoms: DataFrame, group: str, places: int) -> DataFrame:
+    """pdb_id, i, j, upper_bound, lower_bound: `equivalence_bounds` of the distances of all atom pairs i < j, rounded.
+
+    Bounds are taken in the tasks that meet the atoms; the pairs then join them where they are listed, unless there are very many.
+    """
+    found = blocks.group_extremes(atoms, group).groupBy("pdb_id", F.col("a").alias("_lo"), F.col("b").alias("_hi"))
+    bounds = materialise(found.agg(F.round(F.max("most"), places).alias("upper_bound"), F.round(F.min("least"), places).alias("lower_bound")), "bounds")
+    pairs = blocks.pairs(atoms, [group], lambda d: {}, "").withColumn("_lo", F.least(f"{group}_i", f"{group}_j")).withColumn("_hi", F.greatest(f"{group}_i", f"{group}_j"))
+    small = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
+    return pairs.join(small, ["pdb_id", "_lo", "_hi"]).select("pdb_id", "i", "j", "upper_bound", "lower_bound")
+
+
 def masked_mean(value: Column, mask: Column, eps: float = 1e-12) -> Column:
     return F.sum(value * mask.cast("double")) / (F.sum(mask.cast("double")) + eps)
 
