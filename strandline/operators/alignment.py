@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
+from strandline.operators.index_table import with_row_number
 
 
 def dedup(msa: DataFrame, order: str = "row") -> DataFrame:
@@ -50,19 +51,32 @@ def gap_rows(msa: DataFrame, gap: int = 31) -> DataFrame:
     return msa.where(F.exists(S.codes(F.col("seq")), lambda c: c != gap))
 
 
-def pair_by_species(msa: DataFrame, most_per_species: int = 600) -> DataFrame:
+def pair_by_species(msa: DataFrame, most_per_species: int | None = 600, named_only: bool = True) -> DataFrame:
     """Rows of several chains (query) side by side: the nth row of a species in one chain with the nth in the others.
 
-    Per species as many rows as the poorest of its chains has; only species of
-    two chains or more.
+    Per species as many rows as the poorest of its chains has, and at most most_per_species (None: all of them); only species of
+    two chains or more. A null chain is a chain; rows of no species are left out: null, and with named_only the empty name.
     """
-    sizes = msa.where("species <> ''").groupBy("species", "query").agg(F.count(F.lit(1)).alias("n"))
-    common = sizes.groupBy("species").agg(F.count(F.lit(1)).alias("chains"), F.least(F.min("n"), F.lit(most_per_species)).alias("take")).where("chains >= 2")
-    # The literal bound is a group limit before the shuffle: no task gets more rows of a species than may be taken from each split.
-    numbered = msa.where("species <> ''").select("species", "query", "row").withColumn("nth", F.row_number().over(W.partitionBy("species", "query").orderBy("row"))).where(F.col("nth") <= most_per_species)
+    named = msa.where("species <> ''" if named_only else "species IS NOT NULL").select("species", "query", "row")
+    sizes = named.groupBy("species", "query").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min("n") if most_per_species is None else F.least(F.min("n"), F.lit(most_per_species))
+    common = sizes.groupBy("species").agg(F.count(F.lit(1)).alias("chains"), least.alias("take")).where("chains >= 2")
+    if most_per_species is not None:
+        # The literal bound is a group limit before the shuffle: no task gets more rows of a species than may be taken from each split.
+        numbered = named.withColumn("nth", F.row_number().over(W.partitionBy("species", "query").orderBy("row"))).where(F.col("nth") <= most_per_species)
+    else:
+        numbered = _numbered(named)
     return numbered.join(common, "species").where("nth <= take").select("species", "nth", "query", "row", "chains")
 
 
+def _numbered(named: DataFrame) -> DataFrame:
+    """Adds nth, from 1 by row within species and query, by parts of the sorted rows, so that no group has to fit a task."""
+    placed = with_row_number(named, ["species", "query", "row"], "_place")
+    first = placed.groupBy("species", "query").agg(F.min("_place").alias("_first"))
+    met = (F.col("a.species") == F.col("b.species")) & F.col("a.query").eqNullSafe(F.col("b.query"))
+    return placed.alias("a").join(first.alias("b"), met).select("a.species", "a.query", "a.row", (F.col("_place") - F.col("_first") + 1).alias("nth"))
+
+
 def featurize(msa: DataFrame, table: dict = S.PROTEIN_CODES, other: int = 20) -> DataFrame:
     """query, row, codes, deletions, species, depth (rows of the query): the features of an alignment, row by row.
 
