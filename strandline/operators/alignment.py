@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
 from strandline.operators.index_table import with_row_number
+from strandline.shared import materialise
+
+#: Queries whose depths are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def dedup(msa: DataFrame, order: str = "row") -> DataFrame:
@@ -17,6 +21,13 @@ def dedup(msa: DataFrame, order: str = "row") -> DataFrame:
     return rows.join(firsts, ["query", "aligned", order], "left_semi")
 
 
+def first_digests(msa: DataFrame, order: str = "row") -> DataFrame:
+    """query, order and digest (MD5) of the aligned sequence of the rows that `dedup` keeps; sequences stay where they are read, and only digests are shuffled."""
+    aligned = msa.select("query", order, S.aligned(F.col("seq")).alias("aligned"))
+    keyed = aligned.select("query", F.sha2("aligned", 256).alias("_key"), F.struct(order, F.md5("aligned").alias("digest")).alias("_row"))
+    return keyed.groupBy("query", "_key").agg(F.min("_row").alias("_f")).select("query", f"_f.{order}", "_f.digest")
+
+
 def merge(parts: list[DataFrame]) -> DataFrame:
     """Union in order of priority, then the first row of each aligned sequence."""
     out = None
@@ -80,11 +91,12 @@ def _numbered(named: DataFrame) -> DataFrame:
 def featurize(msa: DataFrame, table: dict = S.PROTEIN_CODES, other: int = 20) -> DataFrame:
     """query, row, codes, deletions, species, depth (rows of the query): the features of an alignment, row by row.
 
-    msa: query, row, description, seq. The depth is counted before the shuffle and joins the rows by its size.
+    msa: query, row, description, seq. The depths are broadcast unless there are very many, so a deep alignment stays where it is read.
     """
-    depth = msa.groupBy("query").agg(F.count(F.lit(1)).alias("depth"))
+    depth = materialise(msa.groupBy(F.col("query").alias("_query")).agg(F.count(F.lit(1)).alias("depth")), "depth")
+    depth = F.broadcast(depth) if depth.count() <= BROADCAST_ROWS else depth
     rows = msa.select("query", "row", S.codes(F.col("seq"), table, other).alias("codes"), S.deletions(F.col("seq")).alias("deletions"), S.species(F.col("description")).alias("species"))
-    return rows.join(depth, "query")
+    return rows.join(depth, F.col("query").eqNullSafe(F.col("_query"))).drop("_query")
 
 
 def unpaired(msa: DataFrame, paired: DataFrame) -> DataFrame:

@@ -48,10 +48,17 @@ def read_a3m(spark: SparkSession, path: str, depth: int | None = None, deduplica
     return alignment.dedup(rows) if deduplicate else rows
 
 
-def write_a3m(msa: DataFrame, path: str) -> None:
-    """One text file per partition of rows, >description and sequence in the order of query and row."""
+def write_a3m(msa: DataFrame, path: str, by_query: bool = False) -> None:
+    """Text files of ranges of rows, >description and sequence in the order of query and row; by_query: in a folder for each query.
+
+    A large alignment makes several files, so no task holds it.
+    """
     lines = msa.select("query", "row", F.concat(F.lit(">"), "description", F.lit("\n"), "seq").alias("value"))
-    lines.repartition("query").sortWithinPartitions("query", "row").select("value").write.text(path)
+    lines = lines.repartitionByRange("query", "row").sortWithinPartitions("query", "row")
+    if by_query:
+        lines.select("query", "value").write.partitionBy("query").text(path)
+    else:
+        lines.select("value").write.text(path)
 
 
 def read_hit_table(spark: SparkSession, path: str) -> DataFrame:
