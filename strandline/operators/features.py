@@ -70,10 +70,14 @@ def expand_columns(cells: DataFrame, token_map: DataFrame, values: list[str]) ->
     token_map: query, old, new; the new tokens run from 0 to the largest.
     """
     last = token_map.groupBy("query").agg(F.max("new").alias("_last"))
-    tokens = last.select("query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))).alias("new"))
-    moved = cells.join(token_map.withColumnRenamed("old", "col"), ["query", "col"]).select("query", "row", "new", *values)
-    grid = cells.select("query", "row").distinct().join(tokens, "query")
-    return grid.join(moved, ["query", "row", "new"], "left").select("query", "row", F.col("new").alias("col"), *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
+    moved = cells.join(token_map.withColumnRenamed("old", "col"), ["query", "col"], "left").select("query", "row", F.col("new").cast("long").alias("col"), *values)
+    # A row of the alignment is one list, so its empty columns are added where it lies and the grid is not shuffled. A row that nothing maps has an empty list.
+    kept = moved.groupBy("query", "row").agg(F.collect_list(F.when(F.col("col") >= 0, F.struct("col", *values))).alias("_cells"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))
+    null = [F.lit(None).cast(cells.schema[v].dataType).alias(v) for v in values]
+    empty = F.transform(F.array_except(every, F.col("_cells.col")), lambda c: F.struct(c.alias("col"), *null))
+    rows = kept.join(last, "query").select("query", "row", F.explode(F.concat("_cells", empty)).alias("_c"))
+    return rows.select("query", "row", "_c.col", *[F.coalesce(f"_c.{v}", F.lit(0)).alias(v) for v in values])
 
 
 def schedule(config: float | dict, t: Column) -> Column:
