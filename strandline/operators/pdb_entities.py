@@ -1,11 +1,13 @@
 """PDB text to chains, entities and mmCIF tables: what the text does not say is inferred from names and numbers.
 
 Windows are over one structure, chain or residue, whose size the format bounds (five columns for the serial number, four
-for the residue's).
+for the residue's). To infer entities no more than these windows is needed, so lines that `by_file` has dealt are not shuffled again.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ DNA = ("DA", "DG", "DC", "DT", "DN")
 RNA = ("A", "G", "C", "U", "N")
 MISSING = {"dna": "DN", "rna": "N", "protein": "UNK"}
 
+#: Lines of a part of `by_file`.
+LINES = 200_000
+
 #: Categories of the text that `cif_tables` gives, with their columns.
 CATEGORIES = {
     "entity": ["id", "type"],
@@ -31,6 +36,14 @@ CATEGORIES = {
 }
 
 
+def by_file(rows: DataFrame, lines: int, key: str = "pdb_id") -> DataFrame:
+    """rows dealt by file to parts of about LINES of all the lines, so what a task holds does not grow with the number of files.
+
+    Adaptive execution would size parts by compressed bytes, and PDB text shrinks to a small part of what its rows take in memory.
+    """
+    return rows.repartition(max(1, math.ceil(lines / LINES)), key)
+
+
 def _file():
     return W.partitionBy("pdb_id").orderBy("pos")
 
@@ -49,14 +62,15 @@ def first_model(lines: DataFrame) -> DataFrame:
     """
     at = lambda start, n: F.trim(F.substring("line", start, n))
     record = F.substring("line", 1, 6)
-    rows = lines.where(record.isin("ATOM  ", "HETATM", "MODEL ")).withColumn("_m", F.sum((record == "MODEL ").cast("int")).over(_file()))
     letter = F.regexp_extract(at(13, 4), "[A-Za-z]", 0)
-    number = lambda start, n, to: at(start, n).try_cast(to)
-    atoms = rows.where((F.col("_m") <= 1) & (record != "MODEL ")).select(
-        "pdb_id", "pos", (record == "HETATM").alias("hetero"), at(13, 4).alias("atom_name"), at(17, 1).alias("alt"), at(18, 3).alias("res_name"), at(22, 1).alias("chain_id"), number(23, 4, "int").alias("res_id"), at(27, 1).alias("ins"),
+    number = lambda start, n, to: F.when(record != "MODEL ", at(start, n)).try_cast(to)  # noqa: E731  a failed cast is slow, and MODEL has no such columns
+    # Lines are cut before they are sorted, so only the columns that are asked for reach the windows.
+    rows = lines.where(record.isin("ATOM  ", "HETATM", "MODEL ")).select(
+        "pdb_id", "pos", (record == "MODEL ").alias("_model"), (record == "HETATM").alias("hetero"), at(13, 4).alias("atom_name"), at(17, 1).alias("alt"), at(18, 3).alias("res_name"), at(22, 1).alias("chain_id"), number(23, 4, "int").alias("res_id"), at(27, 1).alias("ins"),
         *[number(31 + 8 * k, 8, "double").alias(c) for k, c in enumerate("xyz")], F.coalesce(number(55, 6, "double"), F.lit(1.0)).alias("occupancy"), F.coalesce(number(61, 6, "double"), F.lit(0.0)).alias("b"),
         F.coalesce(F.nullif(at(77, 2), F.lit("")), letter).alias("element"),
     )
+    atoms = rows.withColumn("_m", F.sum(F.col("_model").cast("int")).over(_file())).where("_m <= 1 AND NOT _model").drop("_m", "_model")
     atoms = atoms.withColumn("chain_run", _changes("chain_id")).withColumn("residue", _changes("chain_id", "res_id", "ins", "res_name"))
     named = F.min(F.when(F.col("alt") != "", F.struct("pos", "alt"))).over(W.partitionBy("pdb_id", "residue"))["alt"]
     return atoms.withColumn("_alt", named).where((F.col("alt") == "") | (F.col("alt") == F.col("_alt"))).drop("_alt")
@@ -76,12 +90,13 @@ def filled_residues(atoms: DataFrame) -> DataFrame:
     Chains without HETATM get a residue for each number that their sequence skips, named by what most of their distinct names are.
     """
     rows = atoms.groupBy("pdb_id", "chain_run", "segment", "residue").agg(F.first("res_id").alias("res_id"), F.first("res_name").alias("res_name"), F.first("hetero").alias("hetero"))
-    kind = lambda names: F.count_distinct(F.when(F.col("res_name").isin(*names), F.col("res_name")))
-    chains = rows.groupBy("pdb_id", "chain_run").agg(F.bool_or("hetero").alias("_het"), kind(PROTEIN).alias("_p"), kind(DNA).alias("_d"), kind(RNA).alias("_r"))
+    chain = W.partitionBy("pdb_id", "chain_run")
+    kind = lambda names: F.size(F.collect_set(F.when(F.col("res_name").isin(*names), F.col("res_name"))).over(chain))
+    after = F.lead("res_id").over(chain.orderBy("residue"))
+    rows = rows.where("pdb_id IS NOT NULL").select("*", F.bool_or("hetero").over(chain).alias("_het"), kind(PROTEIN).alias("_p"), kind(DNA).alias("_d"), kind(RNA).alias("_r"), F.coalesce(after - F.col("res_id") - 1, F.lit(0)).alias("_gap"))
     p, d, r = F.col("_p"), F.col("_d"), F.col("_r")
     name = F.when((d > 0) & (d >= p) & (d >= r), MISSING["dna"]).when((r > 0) & (r >= p) & (r >= d), MISSING["rna"]).otherwise(MISSING["protein"])
-    after = F.lead("res_id").over(W.partitionBy("pdb_id", "chain_run").orderBy("residue"))
-    rows = rows.withColumn("_gap", F.coalesce(after - F.col("res_id") - 1, F.lit(0))).join(chains.select("pdb_id", "chain_run", "_het", name.alias("_name")), ["pdb_id", "chain_run"])
+    rows = rows.withColumn("_name", name)
     gap = F.when(F.col("_het"), 0).otherwise(F.greatest("_gap", F.lit(0)))
     listed = rows.select("pdb_id", "segment", "residue", "res_name", "_name", F.explode(F.sequence(F.lit(0), gap)).alias("_k"))
     num = F.row_number().over(W.partitionBy("pdb_id", "segment").orderBy("residue", "_k"))

@@ -36,13 +36,17 @@ def pdb_text_entities(spark, sf_dir):
     """Orders written as PDB text, a residue for each item, in two models; chains, entities and polymer types are inferred."""
     k, p = F.col("k"), F.col("p")
     pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")).distinct()
-    listed = items.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "p"))).alias("l")).select("k", F.posexplode("l").alias("i", "l")).select("k", (F.col("i") + 1).alias("pos"), "l.n", "l.p")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    orders = pdb_entities.by_file(items, 2 * items.count(), "k").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("n", "p"))).alias("l"))
+    listed = orders.select("k", F.posexplode("l").alias("i", "l")).select("k", (F.col("i") + 1).alias("pos"), "l.n", "l.p")
     name = F.when(k % 3 == 0, pick(("DA", "DT"), p % 2)).when(k % 3 == 1, pick(("ALA", "GLY", "UNK"), p % 3)).otherwise(pick(("A", "DA", "SER", "HEM"), p % 4))
     line = F.format_string("%-6s%5d  CA  %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f           C", F.when(p % 7 == 0, "HETATM").otherwise("ATOM"), "pos", name, F.when(F.col("n") <= 3, "A").otherwise("B"), F.col("pos") * F.when(k % 2 == 0, 2).otherwise(1), *[F.lit(0.0)] * 3, F.lit(1.0), F.lit(0.0))
     first = listed.select(k.alias("pdb_id"), "pos", line.alias("line"))
-    models = first.select("pdb_id", F.explode(F.array(F.lit(0), F.lit(1000))).alias("pos")).distinct().withColumn("line", F.lit("MODEL        1"))
-    lines = first.unionByName(models).unionByName(first.withColumn("pos", F.col("pos") + 1000))
+    row = lambda pos, text: F.struct(pos.alias("pos"), text.alias("line"))
+    model = F.lit("MODEL        1")
+    twice = [row(F.col("pos"), F.col("line")), row(F.col("pos") + 1000, F.col("line"))]
+    headed = F.when(F.col("pos") == 1, F.array(row(F.lit(0), model), row(F.lit(1000), model), *twice)).otherwise(F.array(*twice))
+    lines = first.select("pdb_id", F.inline(headed))
     _, made = pdb_entities.inferred(lines)
     return made.select("pdb_id", "asym_id", "entity_id", "turned", F.array_join("names", "_").alias("names"), "poly_type")
 

@@ -92,3 +92,21 @@ def test_round_trip_through_cif(spark, tmp_path):
     assert rows("struct_asym") == [("A", "1"), ("B", "2"), ("C", "3"), ("D", "3")]
     sites = [(r["label_asym_id"], r["label_seq_id"], r["label_comp_id"], r["auth_seq_id"], r["Cartn_x"]) for r in got["atom_site"].orderBy("row").collect()]
     assert sites == [("A", "1", "DA", "1", "0.000"), ("A", "2", "DT", "2", "0.000"), ("A", "3", "DG", "3", "0.000"), ("B", "1", "DG", "3", "3.000"), ("B", "2", "DT", "2", "2.000"), ("B", "3", "DA", "1", "1.000"), ("C", ".", "HOH", "101", "1.000"), ("D", ".", "HOH", "102", "2.000")]
+
+
+def test_files_are_shuffled_once(spark, tmp_path):
+    """Files are dealt to parts that follow their lines, and every window works on what is there: one exchange of all rows, no union, no join."""
+    from strandline.plans import conversions
+
+    plan = conversions.pdb_text_entities(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Union" not in plan and "Join" not in plan
+    rows = [(k, n, 10 * k + n) for k in range(1, 60) for n in range(1, 8)] * 2 + [(None, 1, 5), (7, None, 5), (7, 3, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(str, conversions.pdb_text_entities(spark, str(tmp_path)).collect()))
+    assert want and "None" not in {w.split("pdb_id=")[1].split(",")[0] for w in want}
+    before, P.LINES = P.LINES, 16
+    try:
+        made = conversions.pdb_text_entities(spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() > 40 and sorted(map(str, made.collect())) == want
+    finally:
+        P.LINES = before
