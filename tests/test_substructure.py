@@ -1,6 +1,7 @@
 """Operators of operators.substructure, and template and alignment features, against plain Python on small examples."""
 
 import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -92,6 +93,48 @@ def test_without_leaving_atoms(spark):
     assert substructure.without_leaving_atoms(atoms, bonds.where("false")).count() == 10
 
 
+def plain_lost(atoms, bonds):
+    """A structure's centres are cut out in turn, with all of its bonds at hand."""
+    at, links, gone = {a[0]: a for a in atoms}, {}, set()
+    for i, j in bonds:
+        links.setdefault(i, set()).add(j)
+        links.setdefault(j, set()).add(i)
+    for c in sorted(c for c, around in links.items() if at[c][3] and any(at[b][1:3] != at[c][1:3] for b in around)):
+        around = links[c]
+        links[c] = set()
+        for b in around:
+            links[b].discard(c)
+        if sum(at[b][4] for b in around) == 1:
+            continue
+        for b in around:
+            group, stack = {b}, [b]
+            while stack:
+                fresh = links[stack.pop()] - group
+                group |= fresh
+                stack += fresh
+            if not any(at[x][4] or at[x][1:3] != at[c][1:3] for x in group):
+                gone |= group
+    return gone
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_leaving_atoms_of_many_residues(spark, most, monkeypatch):
+    """Many residues come to one task, whole; a call for each would cost milliseconds."""
+    monkeypatch.setattr(substructure, "MOST_FOUND", most)
+    rng, rows, bonds, want = random.Random(8), [], [], set()
+    for p in ("p", "q", "r"):
+        own = [(i, "AB"[i // 150], i // 6, rng.random() < 0.7, rng.random() < 0.5) for i in range(300)]
+        met = {(i, j) for i in range(300) for j in rng.sample(range(i + 1, min(i + 4, 300)), min(rng.choice([0, 1, 1, 2]), max(0, 299 - i)))}
+        rows += [(p, *a) for a in own]
+        bonds += [(p, i, j) for i, j in met]
+        want |= {(p, i) for i in plain_lost(own, met)}
+    atoms = spark.createDataFrame(rows, "pdb_id string, atom_idx int, chain_id string, res_id int, is_ligand boolean, is_resolved boolean")
+    out = substructure.without_leaving_atoms(atoms, spark.createDataFrame(bonds, "pdb_id string, i int, j int"))
+    assert len(want) > 30 and {(r[0], r[1]) for r in rows} - {(r["pdb_id"], r["atom_idx"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_featurize(spark):
     rows = spark.createDataFrame([("q", 0, "sp|P12345|ABC_HUMAN", "AaR-"), ("q", 1, "x", "C")], "query string, row int, description string, seq string")
     got = {r["row"]: r for r in alignment.featurize(rows).collect()}
