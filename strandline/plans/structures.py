@@ -16,7 +16,7 @@ _NAMES = ("N", "CA", "C", "O")
 
 
 def cif_files(spark, sf_dir) -> str:
-    """Folder of mmCIF files: for every 64 vectors, chains A to C of four alanines and chain D of four ligand residues, in two models; four connections each."""
+    """Folder of mmCIF files with many data blocks: a block for every 64 vectors, chains A to C of four alanines and chain D of four ligand residues, in two models; four connections each."""
     v, e = F.col("vec_id"), F.col("embedding")
     t = F.floor(v % 64 / 4)
     name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (t % 4 + 1).cast("int"))
@@ -45,7 +45,7 @@ def cif_files(spark, sf_dir) -> str:
     text = mmcif.cif_text({
         "atom_site": (sites, SITE), "struct_conn": (files.select("file", F.inline(parts)), CONN), "chem_comp": (comps, ["id", "type"]), "chem_comp_bond": (pairs, ["comp_id", "atom_id_1", "atom_id_2", "value_order"]),
     })
-    mmcif.write_cif(text, path)
+    mmcif.write_blocks(text, path)
     return path
 
 
@@ -66,11 +66,11 @@ SELECT s::VARCHAR AS structure, i, j, round(d, 5) AS d, kind, ord AS "order" FRO
 )
 def structure_bonds(spark, sf_dir):
     """Bonds of the second model, whose sites are numbered from 65."""
-    atoms, found = bonds.structure_bonds(mmcif.tables(spark, cif_files(spark, sf_dir), glob="*.txt"), model=-1)
+    atoms, found = bonds.structure_bonds(mmcif.tables(spark, cif_files(spark, sf_dir), glob="*.txt", by_block=True), model=-1)
     for end in ("i", "j"):
         site = atoms.select("pdb_id", F.col("atom_idx").alias(end), (F.col("site_id") - 65).alias(f"_{end}"))
         found = found.join(site, ["pdb_id", end]).drop(end).withColumnRenamed(f"_{end}", end)
-    return found.select(F.regexp_extract("pdb_id", "file=([^/]+)/", 1).alias("structure"), "i", "j", F.round("d", 5).alias("d"), "kind", "order")
+    return found.select(F.regexp_extract("pdb_id", "#([^#]*)$", 1).alias("structure"), "i", "j", F.round("d", 5).alias("d"), "kind", "order")
 
 
 @query(
@@ -82,7 +82,7 @@ WHERE a <> 'OXT' OR r = 4 OR (e = 2 AND r = 1 AND s IN (SELECT s FROM k))"""
 )
 def reference_atoms(spark, sf_dir):
     """Reference chains of the files above: a C that is linked loses OXT, but not where a connection takes the link's place."""
-    atoms, found = bonds.structure_bonds(mmcif.tables(spark, cif_files(spark, sf_dir), glob="*.txt"), model=1)
+    atoms, found = bonds.structure_bonds(mmcif.tables(spark, cif_files(spark, sf_dir), glob="*.txt", by_block=True), model=1)
     structures = atoms.select("pdb_id").distinct()
     residues = structures.select("pdb_id", F.explode(F.array(*[F.lit(str(e)) for e in (1, 2, 3)])).alias("entity_id")).withColumn("res_id", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("res_name", F.lit("ALA"))
     names = [*_NAMES, "OXT"]
@@ -90,4 +90,4 @@ def reference_atoms(spark, sf_dir):
     comp_bonds = spark.createDataFrame([("ALA", a, b) for a, b in (("N", "CA"), ("CA", "C"), ("C", "O"), ("C", "OXT"))], "res_name string, a string, b string")
     types = spark.createDataFrame([("ALA", "protein")], "res_name string, type string")
     kept, _ = reference_chains.reference_chains(residues, comp_atoms, comp_bonds, types, atoms, found)
-    return kept.select(F.regexp_extract("pdb_id", "file=([^/]+)/", 1).alias("structure"), "entity_id", F.col("res_id").alias("r"), "atom_name")
+    return kept.select(F.regexp_extract("pdb_id", "#([^#]*)$", 1).alias("structure"), "entity_id", F.col("res_id").alias("r"), "atom_name")

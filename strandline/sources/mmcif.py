@@ -37,10 +37,12 @@ STRUCTURE = {
 _ROWS = pa.schema([("file", pa.string()), ("category", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))])
 #: Rows of an output batch.
 _BATCH = 20_000
+#: Data blocks of a file of `write_blocks`.
+BLOCKS = 64
 
 
-def cif_categories(text: str, wanted: dict[str, list[str]]) -> Iterator[tuple[str, list[list[str | None]]]]:
-    """Categories of the text with the wanted columns of their rows, in one pass; a column that the file lacks is None."""
+def cif_categories(text: str | list[tuple[str, bool]], wanted: dict[str, list[str]]) -> Iterator[tuple[str, list[list[str | None]]]]:
+    """Categories of the text, or of its tokens, with the wanted columns of their rows, in one pass; a column that the file lacks is None."""
     single: dict[str, dict[str, str]] = {}
     head: list[tuple[str, str]] = []
     values: list[str] = []
@@ -54,7 +56,7 @@ def cif_categories(text: str, wanted: dict[str, list[str]]) -> Iterator[tuple[st
         at, n = [names.index(c) if c in names else None for c in wanted[category]], len(names)
         return category, [[None if k is None else values[i + k] for k in at] for i in range(0, len(values) - n + 1, n)]
 
-    for token, quoted in cif_tokens(text):
+    for token, quoted in cif_tokens(text) if isinstance(text, str) else text:
         name = not quoted and token.startswith("_")
         if not quoted and (token == "loop_" or token.startswith("data_")):
             if mode == "values" and (found := table()):
@@ -81,8 +83,23 @@ def cif_categories(text: str, wanted: dict[str, list[str]]) -> Iterator[tuple[st
         yield category, [[cells.get(c) for c in wanted[category]]]
 
 
-def read_categories(spark: SparkSession, path: str, categories: dict[str, list[str]] | None = None, glob: str = "*.cif*") -> DataFrame:
-    """file, category, row, cells (in the order of the category's columns) of all files below path whose names match."""
+def cif_blocks(text: str, wanted: dict[str, list[str]]) -> Iterator[tuple[str, str, list[list[str | None]]]]:
+    """Name of the data block with each of its categories; only one block's tokens are held."""
+    block, tokens = "", []
+    for token, quoted in cif_tokens(text):
+        if not quoted and token.startswith("data_"):
+            yield from ((block, *found) for found in cif_categories(tokens, wanted))
+            block, tokens = token.removeprefix("data_"), []
+        else:
+            tokens.append((token, quoted))
+    yield from ((block, *found) for found in cif_categories(tokens, wanted))
+
+
+def read_categories(spark: SparkSession, path: str, categories: dict[str, list[str]] | None = None, glob: str = "*.cif*", by_block: bool = False) -> DataFrame:
+    """file, category, row, cells (in the order of the category's columns) of all files below path whose names match.
+
+    by_block: of files with several data blocks, each block is a file of its own, named by the path, # and the block.
+    """
     wanted = STRUCTURE if categories is None else categories
     bounded_batches(spark)
 
@@ -90,20 +107,21 @@ def read_categories(spark: SparkSession, path: str, categories: dict[str, list[s
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 text = (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode()
-                for category, rows in cif_categories(text, wanted):
+                found = ((f"{file}#{block}", *c) for block, *c in cif_blocks(text, wanted)) if by_block else ((file, *c) for c in cif_categories(text, wanted))
+                for name, category, rows in found:
                     for k in range(0, len(rows), _BATCH):
                         part = rows[k : k + _BATCH]
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array([category] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=_ROWS)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([category] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=_ROWS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
     return files.mapInArrow(run, "file string, category string, row long, cells array<string>")
 
 
-def tables(spark: SparkSession, path: str, categories: dict[str, list[str]] | None = None, glob: str = "*.cif*") -> dict[str, DataFrame]:
+def tables(spark: SparkSession, path: str, categories: dict[str, list[str]] | None = None, glob: str = "*.cif*", by_block: bool = False) -> dict[str, DataFrame]:
     """A table for each category: file, row, and its columns as text. The files are parsed once, here."""
     wanted = STRUCTURE if categories is None else categories
     folder = shared_folder(spark, "mmcif")
-    read_categories(spark, path, wanted, glob).write.partitionBy("category").parquet(folder)
+    read_categories(spark, path, wanted, glob, by_block).write.partitionBy("category").parquet(folder)
     tagged = spark.read.schema("file string, row long, cells array<string>, category string").parquet(folder)
     return {name: tagged.where(F.col("category") == name).select("file", "row", *[F.get("cells", i).alias(c) for i, c in enumerate(columns)]) for name, columns in wanted.items()}
 
@@ -136,3 +154,8 @@ def cif_text(tables: dict[str, tuple[DataFrame, list[str]]], file: str = "file",
 def write_cif(text: DataFrame, path: str) -> None:
     """One file (file, value) below path/file=... for each row."""
     text.select("file", "value").write.partitionBy("file").text(path)
+
+
+def write_blocks(text: DataFrame, path: str, most: int = BLOCKS) -> None:
+    """The same texts as data blocks of files of at most `most` each, as a file, a folder and their commit cost more than a small structure. Read by block."""
+    text.select("value").write.option("maxRecordsPerFile", most).text(path)

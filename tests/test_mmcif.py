@@ -147,3 +147,28 @@ def test_bonds_of_real_files(spark):
     assert len(links) == expected and all(1.2 < r["d"] < 1.5 for r in links)
     inside = [r["d"] for r in rows if r["kind"] == "component"]
     assert len(inside) > len(links) * 6 and sum(1.1 < d < 2.3 for d in inside) > 0.99 * len(inside)
+
+
+def test_blocks_of_one_file(spark, tmp_path):
+    """Each data block is a structure of its own; what looks like one in a quoted value or text field is none."""
+    cells = spark.createDataFrame([(f, r, f"{f}-{r}", t) for f in ("one", "two three", "4") for r, t in enumerate(["data_x", "a\ndata_y\nb", "loop_", None])], "file string, row int, a string, b string")
+    text = mmcif.cif_text({"t": (cells, ["a", "b"])})
+    mmcif.write_blocks(text.coalesce(1), f"{tmp_path}/blocks", 2)
+    assert len(list((tmp_path / "blocks").glob("*.txt"))) == 2
+    got = mmcif.tables(spark, f"{tmp_path}/blocks", {"t": ["a", "b", "c"]}, glob="*.txt", by_block=True)["t"]
+    want = {(r["file"].replace(" ", "_"), r["row"], r["a"], r["b"] or "?", None) for r in cells.collect()}
+    assert {(r["file"].split("#")[1], *r[1:]) for r in got.collect()} == want and got.count() == len(want)
+    single = 'data_p\n_t.a 1\nloop_\n_u.b\nx\ny\ndata_q\n_t.a 2\n_u.b z\n'
+    assert list(mmcif.cif_blocks(single, {"t": ["a"], "u": ["b"]})) == [("p", "u", [["x"], ["y"]]), ("p", "t", [["1"]]), ("q", "t", [["2"]]), ("q", "u", [["z"]])]
+
+
+def test_structures_share_files(spark):
+    """A file for each structure would make listing, opening and committing files the larger part of the work."""
+    from pathlib import Path
+
+    from strandline.plans import structures
+
+    path = structures.cif_files(spark, "/root/testdata/sf0.1").removeprefix("file:")
+    texts = [f.read_text() for f in Path("/" + path.lstrip("/")).rglob("*.txt")]
+    blocks = [t.count("\ndata_") + t.startswith("data_") for t in texts]
+    assert sum(blocks) == 32 and max(blocks) <= mmcif.BLOCKS and len(texts) < 32
